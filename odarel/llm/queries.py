@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odarel.llm import mixing, quality, sharding, tokens
+from odarel.llm import html, lines, mixing, quality, secrets, sharding, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,34 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(_table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = """
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+b AS (SELECT trim(line, ' ') AS line FROM l WHERE length(trim(line, ' ')) >= 16 GROUP BY 1 HAVING count(DISTINCT source) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(b.line) AS n_removed,
+  coalesce(string_agg(l.line, chr(10) ORDER BY pos) FILTER (WHERE b.line IS NULL), '') AS text
+FROM l LEFT JOIN b ON trim(l.line, ' ') = b.line GROUP BY doc_id
+"""
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def n_of(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [n_of(r.kind) for r in secrets.RULES]
+    return found.select("doc_id", *counts, F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     carry = {"doc_id": F.col("doc_id"), "text_crc32": F.crc32(F.coalesce(F.col("text"), F.lit("")))}
@@ -36,8 +64,8 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op2_token_counts": op2_token_counts, "op3_quality": op3_quality, "op7_shard": op7_shard}
+    return {"op1_mix": op1_mix, "op2_token_counts": op2_token_counts, "op3_quality": op3_quality, "op4_line_dedup": op4_line_dedup, "op5_main_text": op5_main_text, "op6_secrets": op6_secrets, "op7_shard": op7_shard}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": OP4_SQL}
