@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odarel.llm import decontaminate, html, lines, mixing, quality, secrets, sharding, tokens
+from odarel.llm import decontaminate, embeddings, html, lines, mixing, quality, secrets, sharding, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"]).cast("long")
@@ -73,7 +77,7 @@ def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op2_token_counts": op2_token_counts, "op3_quality": op3_quality, "op4_line_dedup": op4_line_dedup, "op5_main_text": op5_main_text, "op6_secrets": op6_secrets, "op7_shard": op7_shard, "op9_contamination": op9_contamination}
+    return {"op1_mix": op1_mix, "op2_token_counts": op2_token_counts, "op3_quality": op3_quality, "op4_line_dedup": op4_line_dedup, "op5_main_text": op5_main_text, "op6_secrets": op6_secrets, "op7_shard": op7_shard, "op8_near_vectors": op8_near_vectors, "op9_contamination": op9_contamination}
 
 
 def oracle_sql() -> dict[str, str]:
