@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odarel.llm import decontaminate, embeddings, html, lines, mixing, quality, secrets, sharding, tokens
+from odarel.llm import decontaminate, embeddings, html, jaccard, lines, mixing, quality, secrets, sharding, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,8 +76,12 @@ def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op2_token_counts": op2_token_counts, "op3_quality": op3_quality, "op4_line_dedup": op4_line_dedup, "op5_main_text": op5_main_text, "op6_secrets": op6_secrets, "op7_shard": op7_shard, "op8_near_vectors": op8_near_vectors, "op9_contamination": op9_contamination}
+    return {"op1_mix": op1_mix, "op2_token_counts": op2_token_counts, "op3_quality": op3_quality, "op4_line_dedup": op4_line_dedup, "op5_main_text": op5_main_text, "op6_secrets": op6_secrets, "op7_shard": op7_shard, "op8_near_vectors": op8_near_vectors, "op9_contamination": op9_contamination, "op10_jaccard": op10_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
