@@ -85,7 +85,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     "f_indexof": ("Parts?$filter=indexof(p_type,'o') ge 2 and indexof(p_brand,'#') gt -1&$select=p_partkey", "SELECT p_partkey FROM part WHERE instr(lower(p_type), 'o') - 1 >= 2 AND instr(lower(p_brand), '#') - 1 > -1"),
     "f_substr_len": ("Parts?$filter=substring(p_brand,0,5) eq 'Brand' and length(p_brand) eq 7", f"SELECT {PART} FROM part WHERE substr(p_brand,1,5) = 'Brand' AND length(p_brand) = 7"),
     "f_substr_tail": ("Parts?$filter=substring(p_brand,6) eq '1'&$select=p_partkey,p_brand", "SELECT p_partkey, p_brand FROM part WHERE substr(p_brand, 7) = '1'"),
-    "f_between_like": ("Parts?$filter=between(p_size,10,20) and like(p_type,'%o%')&$select=p_partkey", "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20 AND lower(p_type) LIKE '%o%'"),
+    "f_between_like": ("Parts?$filter=between(p_size,10,20) and ilike(p_type,'%o%')&$select=p_partkey", "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20 AND p_type ILIKE '%o%'"),
     "f_nav": ("Orders?$filter=customer/nation/region/r_name eq 'ASIA'", f"SELECT {ORDER} FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'"),
     "f_structured": ("Events?$filter=props/k gt 50", f"SELECT {EVENT} FROM events WHERE cast(json_extract_string(props, '$.k') AS double) > 50"),
     "l_any": ("Orders?$filter=lineitems/any(l: l/l_quantity gt 45)", f"SELECT {ORDER} FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)"),
