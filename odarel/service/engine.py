@@ -107,6 +107,29 @@ class Engine:
         planned = collection.plan(self.catalog, name, o, search_mode=self.config.search_mode, base=self._base(entity, raw_filter))
         return planned, planned.shown(planned.paged())
 
+    def entity(self, name: str, key=None) -> DataFrame:
+        """One entity, or a singleton by its name, as a DataFrame of at most a row."""
+        if name in self.singletons:
+            name, key = self.singletons[name]
+            key = key() if callable(key) else key
+        entity = self.catalog.get(name)
+        return self.catalog.frame(entity.name).filter(writes.at_key(entity.keys, key if isinstance(key, tuple) else (key,)))
+
+    def navigation(self, name: str, key, relation: str, options: str | Mapping[str, str] | Options = "") -> DataFrame:
+        """What an entity's relation leads to, with a query's options."""
+        planned = self._related(self.catalog.get(name), key if isinstance(key, tuple) else (key,), relation, self._options(options))
+        return planned.shown(planned.paged())
+
+    def _related(self, entity: EntitySet, key: tuple, name: str, o: Options) -> collection.Planned:
+        if o.apply is not None:
+            raise ODataError("$apply on a navigation property", 501)
+        if (relation := entity.relations.get(name)) is None:
+            raise ODataError(f"unknown relation {name!r} of {entity.name}", 404)
+        owner = self.catalog.frame(entity.name).filter(writes.at_key(entity.keys, key)).select(quoted(relation.source_key).alias("__owner"))
+        rows = linked(self.catalog, relation, "", "__link")
+        rows = rows.join(owner, quoted("__link") == quoted("__owner"), "left_semi").drop("__link")
+        return collection.plan(self.catalog, relation.target, o, base=rows, search_mode=self.config.search_mode)
+
     def count(self, name: str, options: str | Mapping[str, str] = "") -> int:
         """Rows that match, before paging."""
         o = self._options(options)
@@ -374,17 +397,11 @@ class Engine:
         return {"@odata.context": f"{self.config.base}/$metadata#{entity.name}/{'/'.join(path)}", "value": envelope.rows(scope.df.select(column.alias("v")))[0]["v"]}
 
     def _navigation(self, entity: EntitySet, key: tuple, rest: list[str], options: dict[str, str]):
-        relation = entity.relations[rest[0]]
+        relation, target = entity.relations[rest[0]], self.catalog.get(entity.relations[rest[0]].target)
         o = self._options(options)
-        if o.apply is not None:
-            raise ODataError("$apply on a navigation property", 501)
-        owner = self.catalog.frame(entity.name).filter(writes.at_key(entity.keys, key)).select(quoted(relation.source_key).alias("__owner"))
-        if owner.isEmpty():
+        planned = self._related(entity, key, rest[0], o)
+        if self.entity(entity.name, key).isEmpty():
             raise ODataError(f"{entity.name} has no such entity", 404)
-        target = self.catalog.get(relation.target)
-        rows = linked(self.catalog, relation, "", "__link")
-        rows = rows.join(F.broadcast(owner), quoted("__link") == quoted("__owner"), "left_semi").drop("__link")
-        planned = collection.plan(self.catalog, target.name, o, base=rows, search_mode=self.config.search_mode)
         if len(rest) == 2 and rest[1] == "$count":
             return planned.scope.df.count()
         one = relation.kind == "one" and not relation.through

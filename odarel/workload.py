@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from odarel.catalog import Catalog, EntitySet, Relation
 from odarel.operators import query as collection
-from odarel.operators.delta import changed_since, tombstones
+from odarel.operators.delta import bucket_changes, changed_since, tombstones
 from odarel.operators.paging import after
-from odarel.plans.ast import Order, Path
+from odarel.operators.writes import upsert
 from odarel.plans.parser import parse_options
+from odarel.service.engine import Config, Engine
 from odarel.sources.tables import parquet
-from odarel.streaming.windows import tumbling
+from odarel.streaming.windows import sessions, tumbling
 
 
 def sample_sets(sf_dir: str) -> list[EntitySet]:
@@ -171,6 +173,87 @@ def t_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tumbling(sample_catalog(spark, sf_dir).frame("Events"), "ts", "1 day", ["event_type"])
 
 
+def t_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = sample_catalog(spark, sf_dir).frame("Events").filter("event_type = 'purchase'")
+    return tumbling(events, "ts", "2 days", [], slide="1 day").agg(F.count(F.lit(1)).alias("windows"), F.sum("n").alias("rows"))
+
+
+def t_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sessions(sample_catalog(spark, sf_dir).frame("Events"), "ts", "6 hours", ["user_id"])
+    return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("n"))
+
+
+def _engine(spark: SparkSession, sf_dir: str, **options) -> Engine:
+    return Engine(sample_catalog(spark, sf_dir), Config(secret="sample", **options))
+
+
+def d_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups that changed or went when some orders did."""
+    catalog = sample_catalog(spark, sf_dir)
+    text = "$apply=groupby((o_orderpriority,o_orderstatus),aggregate($count as n))"
+    before = run_text(catalog, f"Orders?{text}")
+    catalog.replace("Orders", catalog.frame("Orders").filter("o_orderstatus <> 'P' and not (o_orderpriority like '1%' and o_orderkey % 3 = 0)"))
+    return bucket_changes(before, run_text(catalog, f"Orders?{text}"), ["o_orderpriority", "o_orderstatus"]).withColumnRenamed("@removed", "removed")
+
+
+def n_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine(spark, sf_dir).navigation("Customers", 7, "orders", "$filter=o_totalprice gt 1000&$orderby=o_totalprice desc").select("o_orderkey", "o_totalprice")
+
+
+def n_read_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine(spark, sf_dir).navigation("Orders", 7, "customer").select("c_custkey", "c_name")
+
+
+def n_read_through(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine(spark, sf_dir).navigation("Orders", 7, "parts").select("p_partkey", "p_size")
+
+
+def k_property(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine(spark, sf_dir).entity("Customers", 7).select("c_name")
+
+
+def k_singleton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _engine(spark, sf_dir)
+    engine.singleton("Home", "Nations", lambda: 7)
+    return engine.entity("Home")
+
+
+def r_raw_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = {"where": {"or": [{"o_totalprice": {"between": [1000, 5000]}}, {"o_orderpriority": {"ilike": "%urgent%"}}], "o_orderstatus": {"nin": ["P"]}, "o_custkey": {"inq": list(range(1, 200))}}, "fields": ["o_orderkey"], "order": "o_orderkey", "limit": 40}
+    return _engine(spark, sf_dir).query("Orders", raw_filter=raw)
+
+
+def u_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _engine(spark, sf_dir)
+
+    @engine.registry.function("largest", binding="collection", entity_set="Orders", params={"least": float})
+    def largest(spark, df, least):
+        return df.filter(F.col("o_totalprice") >= least).select("o_orderkey")
+
+    return engine.call("largest", "Orders", least=300000)
+
+
+def _written(change: Callable[[Engine], None], name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = _engine(spark, sf_dir, owned={"Customers": ("orders",), "Orders": ("lineitems",)})
+        change(engine)
+        return engine.catalog.frame(name)
+
+    return run
+
+
+def _cascade(engine: Engine) -> None:
+    orders = engine.catalog.get("Orders")
+    orders.relations["lineitems"] = replace(orders.relations["lineitems"], on_delete="cascade")
+    engine.delete("Orders", 7)
+
+
+def w_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = sample_catalog(spark, sf_dir).frame("Nations")
+    rows = nations.filter("n_nationkey < 3").withColumn("n_name", F.upper("n_name")).union(nations.limit(0))
+    return upsert(nations, ("n_nationkey",), rows.withColumn("n_regionkey", F.lit(0)))
+
+
 def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text("a_flagship")(spark, sf_dir)
 
@@ -183,6 +266,25 @@ CODED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "c_count": (c_count, "SELECT count(*) AS n FROM orders WHERE o_totalprice > 200000 AND (o_orderpriority ILIKE '%urgent%' OR o_orderstatus ILIKE '%urgent%')"),
     "d_delta": (d_delta, "SELECT event_id, event_type FROM events WHERE ts > TIMESTAMP '2024-01-29'"),
     "d_tombstones": (d_tombstones, "SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0"),
+    "d_buckets": (d_buckets, "WITH b AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2), a AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' AND NOT (o_orderpriority LIKE '1%' AND o_orderkey % 3 = 0) GROUP BY 1, 2) SELECT *, NULL::VARCHAR AS removed FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'deleted' FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.o_orderpriority = b.o_orderpriority AND a.o_orderstatus = b.o_orderstatus)"),
+    "t_sliding": (t_sliding, "WITH e AS (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS w FROM events WHERE event_type = 'purchase') SELECT count(DISTINCT w) AS windows, count(*) AS rows FROM e"),
+    "t_sessions": (t_sessions, "WITH g AS (SELECT user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS begins FROM events) SELECT user_id, sum(begins)::BIGINT AS sessions, count(*) AS n FROM g GROUP BY 1"),
+    "n_read": (n_read, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7 AND o_totalprice > 1000"),
+    "n_read_one": (n_read_one, "SELECT c_custkey, c_name FROM customer WHERE c_custkey = (SELECT o_custkey FROM orders WHERE o_orderkey = 7)"),
+    "n_read_through": (n_read_through, "SELECT p_partkey, p_size FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey = 7"),
+    "k_property": (k_property, "SELECT c_name FROM customer WHERE c_custkey = 7"),
+    "k_singleton": (k_singleton, "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey = 7"),
+    "r_raw_filter": (r_raw_filter, "SELECT o_orderkey FROM orders WHERE (o_totalprice BETWEEN 1000 AND 5000 OR o_orderpriority ILIKE '%urgent%') AND o_orderstatus <> 'P' AND o_custkey BETWEEN 1 AND 199 ORDER BY o_orderkey LIMIT 40"),
+    "u_function": (u_function, "SELECT o_orderkey FROM orders WHERE o_totalprice >= 300000"),
+    "w_create": (_written(lambda e: e.create("Regions", {"r_regionkey": 99, "r_name": "NEW", "nations": [{"n_nationkey": 990, "n_name": "N1"}, {"n_nationkey": 991, "n_name": "N2"}]}), "Nations"), "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL VALUES (990, 'N1', 99), (991, 'N2', 99)"),
+    "w_patch": (_written(lambda e: e.update("Regions", 1, {"r_name": "PATCHED"}), "Regions"), "SELECT r_regionkey, CASE WHEN r_regionkey = 1 THEN 'PATCHED' ELSE r_name END AS r_name FROM region"),
+    "w_replace": (_written(lambda e: e.update("Nations", 3, {"n_name": "ONLY"}, replace=True), "Nations"), "SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'ONLY' ELSE n_name END AS n_name, CASE WHEN n_nationkey = 3 THEN NULL ELSE n_regionkey END AS n_regionkey FROM nation"),
+    "w_deep_update": (_written(lambda e: e.update("Regions", 1, {"nations": [{"n_nationkey": 0, "n_name": "MOVED"}, {"n_nationkey": 99, "n_name": "ADDED"}]}), "Nations"), "SELECT n_nationkey, CASE WHEN n_nationkey = 0 THEN 'MOVED' ELSE n_name END AS n_name, CASE WHEN n_nationkey = 0 THEN 1 ELSE n_regionkey END AS n_regionkey FROM nation UNION ALL VALUES (99, 'ADDED', 1)"),
+    "w_delete": (_written(lambda e: e.delete("Nations", 5), "Nations"), "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey <> 5"),
+    "w_cascade": (_written(_cascade, "LineItems"), "SELECT * FROM lineitem WHERE l_orderkey <> 7"),
+    "w_link": (_written(lambda e: e.link("Nations", 2, "region", 4), "Nations"), "SELECT n_nationkey, n_name, CASE WHEN n_nationkey = 2 THEN 4 ELSE n_regionkey END AS n_regionkey FROM nation"),
+    "w_unlink": (_written(lambda e: e.unlink("Regions", 1, "nations", 2), "Nations"), "SELECT n_nationkey, n_name, CASE WHEN n_nationkey = 2 THEN NULL ELSE n_regionkey END AS n_regionkey FROM nation"),
+    "w_upsert": (w_upsert, "SELECT n_nationkey, CASE WHEN n_nationkey < 3 THEN upper(n_name) ELSE n_name END AS n_name, CASE WHEN n_nationkey < 3 THEN 0 ELSE n_regionkey END AS n_regionkey FROM nation"),
     "t_tumbling": (t_tumbling, "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
 }
 
