@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odarel.llm.shared import materialize
-from odarel.llm.words import WordHashes, folded_words, gram_hashes, multipliers
+from odarel.llm.words import gram_hashes, mix, multipliers, text_hashes
 
 WINDOW = 10
 GRAM = 5
@@ -28,10 +28,17 @@ SPAN = WINDOW - GRAM + 1
 
 def winnow(grams: np.ndarray, span: int = SPAN) -> np.ndarray:
     """Positions of the least hash, the leftmost of equals, of every ``span`` consecutive ones."""
-    if len(grams) < span:
+    n = len(grams) - span + 1
+    if n <= 0:
         return np.zeros(0, np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(grams, span)
-    return np.unique(views.argmin(1) + np.arange(len(views)))
+    least = grams[:n].copy()
+    for i in range(1, span):
+        np.minimum(least, grams[i : i + n], out=least)
+    at = np.arange(n) + span - 1
+    for i in range(span - 2, -1, -1):
+        at[grams[i : i + n] == least] = -1 - i
+    at = np.where(at < 0, np.arange(n) - 1 - at, at)
+    return at[np.concatenate([[True], at[1:] != at[:-1]])]
 
 
 def _hashes_at(words: np.ndarray, starts: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -40,10 +47,7 @@ def _hashes_at(words: np.ndarray, starts: np.ndarray, k: int, seed: int) -> np.n
     with np.errstate(over="ignore"):
         for i, m in enumerate(multipliers(k, seed)):
             out += words[starts + i] * m
-        out ^= out >> np.uint64(31)
-        out *= np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(32)
-    return out
+    return mix(out)
 
 
 class Windows:
@@ -77,13 +81,12 @@ class Benchmark:
     """Fingerprints and windows of a block of benchmark items."""
 
     def __init__(self, items: list[tuple[str, str]]):
-        memo = WordHashes()
         self.ids = sorted({i for i, _ in items})
         place = {x: n for n, x in enumerate(self.ids)}
         by_length: dict[int, list[tuple[np.ndarray, int]]] = {}
         prints = [np.zeros(0, np.uint64)]
         for name, text in items:
-            words = memo.of(folded_words(text))
+            words = text_hashes(text)
             if len(words):
                 by_length.setdefault(min(WINDOW, len(words)), []).append((words, place[name]))
             if len(words) >= WINDOW:
@@ -105,7 +108,10 @@ class Benchmark:
                 grams = gram_hashes(words, GRAM)
                 at = winnow(grams)
                 at = at[self.maybe[(grams[at] >> np.uint64(48)).astype(np.int64)]]
-                at = at[np.isin(grams[at], self.prints)]
+                if not len(at):
+                    continue
+                place = np.minimum(np.searchsorted(self.prints, grams[at]), len(self.prints) - 1)
+                at = at[self.prints[place] == grams[at]]
                 if not len(at):
                     continue
                 starts = np.unique((at[:, None] - np.arange(SPAN)[None, :]).ravel())
@@ -164,12 +170,12 @@ def contamination(
         last = after is None
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
-            index, memo = shared.value, WordHashes()
+            index = shared.value
             for batch in batches:
                 counts, spans, items = [], [], []
                 before = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
                 for x, (old, names) in zip(batch.column(1), before, strict=True):
-                    words = memo.of(folded_words(x.as_py()))
+                    words = text_hashes(x.as_py())
                     found, who = index.hits(words)
                     counts.append(len(words))
                     spans.append([{"start": a, "end": b} for a, b in merged(found + [(s["start"], s["end"]) for s in old])])
@@ -194,9 +200,9 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", ite
         shared = docs.sparkSession.sparkContext.broadcast(Benchmark(block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index, memo = shared.value, WordHashes()
+            index = shared.value
             for batch in batches:
-                yield batch.filter(pa.array([not index.hits(memo.of(folded_words(x.as_py())))[0] for x in batch.column(names.index(text))], pa.bool_()))
+                yield batch.filter(pa.array([not index.hits(text_hashes(x.as_py()))[0] for x in batch.column(names.index(text))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

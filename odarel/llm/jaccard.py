@@ -21,7 +21,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from odarel.llm.graph import Forest, compare_within, components
 from odarel.llm.shared import materialize
-from odarel.llm.words import WordHashes, folded_words, gram_hashes
+from odarel.llm.words import gram_hashes, text_hashes
 
 BANDS, ROWS = 32, 6
 HASHES = BANDS * ROWS
@@ -32,9 +32,9 @@ _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _MIX = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 
 
-def shingles(text: str | None, memo: WordHashes, k: int = 5) -> np.ndarray:
+def shingles(text: str | None, k: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the text's runs of k words; a shorter text is one run."""
-    words = memo.of(folded_words(text))
+    words = text_hashes(text)
     return np.unique(gram_hashes(words, min(k, len(words)), k)) if len(words) else words
 
 
@@ -84,11 +84,10 @@ def sketches(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """``key``, ``cls`` (null without words) and ``bands`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in batches:
             classes, bands = [], []
             for x in batch.column(1):
-                grams = shingles(x.as_py(), memo, k)
+                grams = shingles(x.as_py(), k)
                 classes.append(class_of(grams) if len(grams) else None)
                 bands.append(band_hashes(signature(grams)) if len(grams) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["key", "cls", "bands"])
@@ -174,10 +173,9 @@ def _compare(threshold: float, tolerance: float, k: int):
     least = least_matches(threshold, tolerance)
 
     def compare(x: pa.Table, y: pa.Table | None) -> pa.Table:
-        memo = WordHashes()
 
         def sets(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-            found = [shingles(v.as_py(), memo, k) for v in t.column("text")]
+            found = [shingles(v.as_py(), k) for v in t.column("text")]
             nodes = t.column("node").to_numpy()
             # a key may stand for several texts: only the one of this class counts
             ok = [n for n, (grams, node) in enumerate(zip(found, nodes, strict=True)) if len(grams) and class_of(grams) == node]
@@ -273,9 +271,8 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **o
     names = docs.columns
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in batches:
-            sets = [shingles(x.as_py(), memo, k) for x in batch.column(names.index(text))]
+            sets = [shingles(x.as_py(), k) for x in batch.column(names.index(text))]
             yield batch.append_column("__class", pa.array([class_of(x) if len(x) else None for x in sets], pa.int64()))
 
     many = docs.join(repeated, docs[key].eqNullSafe(F.col("again")), "left_semi")

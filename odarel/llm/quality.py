@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odarel.llm.shared import materialize
-from odarel.llm.words import WordHashes, gram_hashes
+from odarel.llm.words import SPLIT, gram_hashes, word_hashes
 
 _SYMBOLS = b"#$%&*^~@+=_<>{}[]\\`"
 _UPPER, _LOWER, _DIGITS = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
@@ -25,37 +25,39 @@ RATIOS = ("symbols", "shouts", "pipes", "upper", "digits", "repeated5", "repeate
 FEATURES = (*RATIOS, *(f"root_{x}" for x in RATIOS), "word_length", "log_words", "line_length")
 
 
-def features(text: str | None, memo: WordHashes) -> list[float]:
+def features(text: str | None) -> list[float]:
     """Features of one whole text; zeros where there is nothing to measure."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    words = raw.split()
-    n, size = len(words), len(raw)
+    hashes = word_hashes(raw, SPLIT)
+    n, size = len(hashes), len(raw)
     if not n:
         return [0.0] * len(FEATURES)
 
+    seen = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+
     def count(chars: bytes) -> int:
-        return size - len(raw.translate(None, chars))
+        return int(seen[np.frombuffer(chars, np.uint8)].sum())
 
-    hashes = memo.of(words)
     upper = count(_UPPER)
 
     def repeated(k: int) -> float:
         grams = gram_hashes(hashes, k)
-        return 1.0 - len(np.unique(grams)) / len(grams) if len(grams) else 0.0
+        grams.sort()
+        return float(np.count_nonzero(grams[1:] == grams[:-1])) / len(grams) if len(grams) else 0.0
 
     ratios = [
         count(_SYMBOLS) / size,
-        min(1.0, (raw.count(b"!") + raw.count(b"?")) / n),
-        min(1.0, raw.count(b"|") / n),
+        min(1.0, (count(b"!?")) / n),
+        min(1.0, count(b"|") / n),
         upper / max(1, upper + count(_LOWER)) if n > 3 else 0.0,
         count(_DIGITS) / size,
         repeated(5),
         repeated(3),
         float(np.mean(hashes[1:] == hashes[:-1])) if n > 1 else 0.0,
-        1.0 - len(raw.translate(None, bytes(range(128, 256)))) / size,
-        min(1.0, raw.count(b"/") / n),
+        int(seen[128:].sum()) / size,
+        min(1.0, count(b"/") / n),
     ]
-    lines = raw.count(b"\n") + 1
+    lines = count(b"\n") + 1
     return [*ratios, *np.sqrt(ratios).tolist(), min(50.0, size / n) / 10, float(np.log1p(n)) / 10, float(np.log1p(n / lines)) / 10]
 
 
@@ -63,9 +65,8 @@ def with_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """``key`` and the array ``f`` of FEATURES, a row per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in batches:
-            rows = [features(x.as_py(), memo) for x in batch.column(1)]
+            rows = [features(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["key", "f"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -170,12 +171,11 @@ def accepted_rows(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", te
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         w, mean = np.array(model.weights) / np.array(model.scale), np.array(model.mean)
         at = names.index(text)
         for batch in batches:
             if batch.num_rows:
-                f = np.array([features(x.as_py(), memo) for x in batch.column(at)])
+                f = np.array([features(x.as_py()) for x in batch.column(at)])
                 yield batch.filter(pa.array(((f - mean) * w).sum(1) >= model.threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from odarel.llm.decontaminate import clean_rows, contamination, winnow
-from odarel.llm.words import folded_words, gram_hashes
+from odarel.llm.words import gram_hashes, text_hashes
 from tests.llm import brute
 
 
@@ -49,6 +49,15 @@ def test_winnowing_keeps_every_shared_span():
         assert set(ga[winnow(ga)]) & set(gb[winnow(gb)])
 
 
-def test_words():
-    for x in ("", "Ab1 c-d_É ß\x00z", "ÀB c", "a　b"):
-        assert [w.decode() for w in folded_words(x)] == brute.words(x)
+def test_words(monkeypatch):
+    from odarel.llm import words
+
+    texts = ["", "Ab1 c-d_É ß\x00z", "ÀB c", "a　b", "...", "a" * 1000 + " b " * 50]
+    plain = [brute.words(x) for x in texts]
+    names = sorted({w for x in plain for w in x})
+    of = {w: int(text_hashes(w)[0]) for w in names}
+    assert len(set(of.values())) == len(names)
+    for piece in (1 << 20, 7):
+        monkeypatch.setattr(words, "PIECE", piece)
+        for x, w in zip(texts, plain, strict=True):
+            assert text_hashes(x).tolist() == [of[v] for v in w]

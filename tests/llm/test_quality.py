@@ -4,7 +4,6 @@ import zlib
 import pytest
 
 from odarel.llm.quality import FEATURES, accepted_rows, features, quality_scores
-from odarel.llm.words import WordHashes
 
 
 def corpus(n=600):
@@ -64,5 +63,5 @@ def test_odd_rows(spark, data):
 
 
 def test_features():
-    assert features(None, WordHashes()) == features("  \n", WordHashes()) == [0.0] * len(FEATURES)
-    assert len(features("Some words, here.", WordHashes())) == len(FEATURES)
+    assert features(None) == features("  \n") == [0.0] * len(FEATURES)
+    assert len(features("Some words, here.")) == len(FEATURES)
