@@ -16,14 +16,14 @@ from odarel.llm.shared import materialize
 def _large_star(edges: DataFrame) -> DataFrame:
     """Tie each greater neighbour of a node to the least one of its neighbourhood."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "graph-least")
     return both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Tie a node and its lesser neighbours to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialize(down.groupBy("a").agg(F.min("b").alias("m")), "graph-least")
     lesser = down.join(least, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return lesser.union(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -33,7 +33,8 @@ def components(edges: DataFrame, label: str = "graph", most_rounds: int = 60) ->
 
     Alternating large and small stars: the number of edges never grows, and a few rounds
     turn every component into a star. Each round is written; the driver only compares
-    a count and a checksum.
+    a count and a checksum. A node's least neighbour is written before it is joined, so
+    that the join's sides are plain exchanges, of which Spark splits a hub's.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialize(edges, f"{label}-edges")
@@ -51,18 +52,19 @@ def components(edges: DataFrame, label: str = "graph", most_rounds: int = 60) ->
 
 
 def compare_within(
-    members: DataFrame, compare: Callable[[pa.Table, pa.Table | None], pa.Table], schema: str, *, block_rows: int = 1024, block_bytes: int = 4 << 20, bin_bytes: int = 8 << 20
+    members: DataFrame, compare: Callable[[pa.Table, pa.Table | None], pa.Table], schema: str, *, block_rows: int = 2048, block_bytes: int = 4 << 20, bin_bytes: int = 8 << 20, least_rows: int = 128, spread: int = 8
 ) -> DataFrame:
     """Run ``compare`` on all pairs of blocks of each group, and unite what it returns.
 
     ``members`` has ``comp``, ``node``, ``bytes`` and what ``compare`` needs. A group
-    of up to ``block_rows`` rows and ``block_bytes`` is a block; larger ones are dealt
-    to blocks by node hash, and every two blocks meet in a task of their own, so that no
+    of up to ``least_rows`` rows and ``block_bytes`` is a block; larger ones are dealt
+    by node hash to ``spread`` blocks or, if these would exceed ``block_rows`` rows or ``block_bytes``,
+    to more. Every two blocks meet in a task of their own, so that no
     task holds more than two blocks. Small groups share tasks. ``compare(x, None)`` is for pairs
     inside x, ``compare(x, y)`` for pairs of an x and a y.
     """
     sizes = members.groupBy("comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
-    sizes = materialize(sizes.select("comp", "b", F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("b") / block_bytes)).cast("int").alias("blocks")), "blocks-sizes")
+    sizes = materialize(sizes.select("comp", "b", F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("b") / block_bytes), F.least(F.lit(spread), F.ceil(F.col("n") / least_rows))).cast("int").alias("blocks")), "blocks-sizes")
     small = sizes.filter("blocks <= 1").agg(F.sum("b")).first()[0] or 0
     bins = max(1, -(-int(small) // bin_bytes), int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = members.join(sizes.select("comp", "blocks"), "comp")

@@ -47,7 +47,7 @@ def test_small_blocks(spark, monkeypatch):
     from odarel.llm import graph, jaccard
 
     rows = corpus(7)
-    monkeypatch.setattr(jaccard, "compare_within", lambda *a, **k: graph.compare_within(*a, **k, block_rows=16, block_bytes=1 << 14))
+    monkeypatch.setattr(jaccard, "compare_within", lambda *a, **k: graph.compare_within(*a, **k, block_rows=16, block_bytes=1 << 14, least_rows=8))
     assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join(frame(spark, rows)).collect()) == brute.jaccard(rows)
 
 
