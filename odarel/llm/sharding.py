@@ -94,13 +94,13 @@ def histogram_shards(
     text: str = "text",
     carry: dict[str, Column] | None = None,
     tolerance: float = 0.001,
-    run_rows: int = 1_000_000,
+    run_rows: int | None = None,
 ) -> DataFrame:
     """Give every row a shard of nearly equal bytes and a slot, gapless from 0, in it.
 
     Returns the columns of ``carry`` (by default all of ``docs``) and ``size`` (UTF-8
     bytes plus 8), ``shard`` and ``slot``. Slots are numbered in runs of about
-    ``run_rows`` rows, each sorted on its own, whose first slots come from the
+    ``run_rows`` rows (a 4096th of all by default, between 256 and a million), each sorted on its own, whose first slots come from the
     exact counts; a text that fills more than a run is dealt out over several
     by key hash.
 
@@ -117,13 +117,16 @@ def histogram_shards(
     )
     slim = materialize(keyed.select("k1", "k2", "size"), "shard-keys")
     splitters = find_splitters(slim, shards, tolerance)
+    if run_rows is None:
+        run_rows = max(256, min(1_000_000, slim.count() >> GRID_BITS))
 
     def placed(df: DataFrame) -> DataFrame:
         at = [(F.col("k1") > F.lit(a)) | ((F.col("k1") == F.lit(a)) & (F.col("k2") >= F.lit(b))) for a, b in splitters]
         shard = sum((x.cast("int") for x in at), F.lit(0))
         return df.withColumn("shard", shard).withColumn("cell", F.shiftright("k1", 64 - GRID_BITS).cast("int"))
 
-    # at most 2**GRID_BITS + shards rows, each with how many bits of k2 deal it out
+    # at most 2**GRID_BITS + shards rows, each with how many bits of k2 deal it out; runs are
+    # that many plus two for each full run
     cells = placed(slim).groupBy("shard", "cell").agg(F.count("*").alias("n"))
     cells = cells.select("shard", "cell", F.least(F.lit(20), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / run_rows)))).cast("int").alias("bits"))
     cells = materialize(cells, "shard-cells")
