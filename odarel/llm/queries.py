@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from odarel.llm import decontaminate, embeddings, html, jaccard, lines, mixing, quality, secrets, sharding, tokens
+from odarel.llm.oracle import ORACLE
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,15 +33,6 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(_table(spark, sf_dir, "documents"))
 
 
-OP4_SQL = """
-WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-b AS (SELECT trim(line, ' ') AS line FROM l WHERE length(trim(line, ' ')) >= 16 GROUP BY 1 HAVING count(DISTINCT source) >= 5)
-SELECT doc_id, count(*) AS n_lines, count(b.line) AS n_removed,
-  coalesce(string_agg(l.line, chr(10) ORDER BY pos) FILTER (WHERE b.line IS NULL), '') AS text
-FROM l LEFT JOIN b ON trim(l.line, ' ') = b.line GROUP BY doc_id
-"""
-
-
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(_table(spark, sf_dir, "pages"))
 
@@ -85,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL}
+    return dict(ORACLE)
