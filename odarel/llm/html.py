@@ -10,6 +10,7 @@ where it has none there.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -62,16 +63,24 @@ KEPT_IN_HEADER = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("attrs", "children", "junk", "parent", "path", "tag")
+    __slots__ = ("attrs", "children", "junk", "name", "parent", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
-        names = [re.sub(r"\d+", "", x).strip("-_").lower() for x in attrs.get("class", "").split()]
-        own = ".".join([tag, *sorted({x for x in names if x})])
-        self.path = f"{parent.path}>{own}" if parent else own
+        names = [re.sub(r"[\d>]+", "", x).strip("-_").lower() for x in attrs.get("class", "").split()]
+        self.name = ".".join([tag.replace(">", ""), *sorted({x for x in names if x})])
         inside = parent is not None and parent.tag != "#"
         self.junk = tag in JUNK or (inside or tag not in ("html", "body")) and is_junk(tag, attrs, parent)
 
+    @property
+    def path(self) -> str:
+        """Generalised tags and classes from the root down."""
+        names, up = [], self
+        while up is not None:
+            names.append(up.name)
+            up = up.parent
+        return ">".join(reversed(names))
+
 
 def is_junk(tag: str, attrs: dict[str, str], parent: Node | None) -> bool:
     if tag in ("html", "body", "article", "main"):
@@ -115,6 +124,16 @@ def parse(html: str) -> Node:
     """The tree; texts are strings among the children, character references decoded."""
     root = node = Node("#", {}, None)
     at = 0
+    open_: Counter[str] = Counter()
+
+    def closed_to(up: Node) -> Node:
+        """Close all elements from the current one to ``up``."""
+        at_ = node
+        while at_ is not up:
+            open_[at_.tag] -= 1
+            at_ = at_.parent
+        open_[up.tag] -= 1
+        return up.parent
 
     def text(part: str) -> None:
         if part:
@@ -128,26 +147,29 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if m["close"]:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            if open_[tag] > 0:
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                node = closed_to(up)
             elif tag == "br":
                 node.children.append(" ")
             continue
         for closed in CLOSES.get(tag, ()):
+            if open_[closed] <= 0:
+                continue
             up, scope = node, SCOPE_OF.get(tag, SCOPE)
             while up is not root and up.tag != closed and up.tag not in scope:
                 up = up.parent
             if up is not root and up.tag == closed:
-                node = up.parent
+                node = closed_to(up)
         raw = m["attrs"]
         attrs = {a[1].lower(): unescape(a[2] or a[3] or a[4] or "") for a in ATTR.finditer(raw)} if raw.strip(" /") else {}
         child = Node(tag, attrs, node)
         node.children.append(child)
         if tag not in VOID and not (raw.endswith("/") and tag not in BLOCK):
             node = child
+            open_[tag] += 1
     text(re.sub(r"<[a-zA-Z/!][^>]*\Z", "", html[at:]) if "<" in html[at:] else html[at:])
     free_article(root)
     return root
@@ -216,7 +238,7 @@ def scored(root: Node) -> list[tuple[float, Node]]:
             while up.parent is not None and (up.tag not in BLOCK or up.tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "dt", "dd", "blockquote", "figcaption", "td", "th", "tr", "ul", "ol", "tbody", "table", "dl")):
                 up = up.parent
             gain = -size if linked else size
-            while up is not None:
+            while up is not None and abs(gain) >= 1e-3:
                 score[up] = score.get(up, 0.0) + gain
                 gain *= 0.85
                 up = up.parent
@@ -245,15 +267,16 @@ def extract(html: str, path: str | None) -> str:
     root = parse(html)
     tops: list[Node] = []
     if path:
-        stack = [root]
+        names = path.split(">")
+        stack = [(root, 0)]
         while stack:
-            node = stack.pop()
-            if node.junk:
+            node, depth = stack.pop()
+            if node.junk or node.name != names[depth]:
                 continue
-            if node.path == path:
+            if depth + 1 == len(names):
                 tops.append(node)
-            elif path.startswith(node.path) or node.tag == "#":
-                stack.extend(x for x in reversed(node.children) if not isinstance(x, str))
+            else:
+                stack.extend((x, depth + 1) for x in reversed(node.children) if not isinstance(x, str))
     lines = [x for top in tops for x in blocks(top)]
     if not lines:
         ranked = scored(root)

@@ -63,3 +63,5 @@ def test_odd_rows(spark):
 
 def test_deep_nesting():
     assert blocks(parse("<div>" * 3000 + "<p>deep</p>")) == ["deep"]
+    page = "<div class='a'>" * 100_000 + "<p>deep</p>" + "</b>" * 100_000 + "<i>x</i>" * 20_000
+    assert extract(page, votes(page)[0][0]) == "deep\n\n" + "x" * 20_000
