@@ -206,10 +206,10 @@ def mix(
     )
 
 
-def mixed_rows(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", broadcast_rows: int = 1_000_000, **options) -> DataFrame:
     """The mix itself: each row of ``docs``, all its columns, as often as ``mix`` says.
 
-    Rows are found again by key, source and text hash. Rows equal in these are
+    Texts move only if more than ``broadcast_rows`` rows of some 40 bytes tell the copies. Rows are found again by key, source and text hash. Rows equal in these are
     interchangeable, so their copies are added up and given to one of them.
     """
     mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
@@ -217,7 +217,8 @@ def mixed_rows(docs: DataFrame, *, key: str = "doc_id", source: str = "source",
     slim = keyed.select(F.struct("k", "h").alias("k"), "s", "w")
     copies = mix(slim, key="k", source="s", size=F.col("w"), **options).groupBy("k", "s").agg(F.sum("copies").alias("copies"), F.count("*").alias("same"))
     copies = materialize(copies.filter("copies > 0"), "mix-copies").select("k.k", "k.h", "s", "copies", "same")
-    found = keyed.alias("d").join(copies.alias("c"), F.expr("d.k <=> c.k and d.h = c.h and d.s <=> c.s")).select("d.row", "d.k", "d.s", "d.h", "c.copies", "c.same")
+    few = copies.count() <= broadcast_rows
+    found = keyed.alias("d").join((F.broadcast(copies) if few else copies).alias("c"), F.expr("d.k <=> c.k and d.h = c.h and d.s <=> c.s")).select("d.row", "d.k", "d.s", "d.h", "c.copies", "c.same")
     single = found.filter("same = 1").select("row", "copies")
     repeated = found.filter("same > 1").groupBy("k", "s", "h").agg(F.any_value("row").alias("row"), F.first("copies").alias("copies")).select("row", "copies")
     times = single.union(repeated).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth"))

@@ -6,10 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[SparkSession, str, str | None]] = []
+_owner: str | None = None
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -38,14 +41,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/odarel/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    _written.append((spark, path, _owner))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the intermediate tables written so far; frames built on them can't be read any more."""
-    for session, path in [x for x in _written if x[0] is spark]:
-        jvm = session.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        _written.remove((session, path))
+@contextmanager
+def owned_by(name: str) -> Iterator[None]:
+    """Mark the tables written inside, so that ``release`` can find them."""
+    global _owner
+    before, _owner = _owner, name
+    try:
+        yield
+    finally:
+        _owner = before
+
+
+def release(spark: SparkSession, owner: str | None = None) -> None:
+    """Delete the intermediate tables written so far, or only those of ``owner``.
+
+    Frames built on them can't be read any more.
+    """
+    for entry in [x for x in _written if x[0] is spark and owner in (None, x[2])]:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(entry[1])
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _written.remove(entry)

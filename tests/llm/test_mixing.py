@@ -82,6 +82,7 @@ def test_rows(spark):
     d = docs(spark, rows)
     out = mixed_rows(d)
     assert out.columns == d.columns
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, mixed_rows(d, broadcast_rows=0).collect()))
     want = {r["source"]: r["target"] for r in mix(d).collect()}
     got = out.collect()
     for s, t in want.items():
