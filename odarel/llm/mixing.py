@@ -7,8 +7,9 @@ from one to the other until one of them is 0 or 1. The move keeps their
 expected words and each document's expectation, so a source's words stay at the
 target while all but one document are settled. Leaves of a few hundred
 documents are settled in parallel and their single residuals are combined level
-by level, so no task ever holds a whole source. What the last open document
-misses is made up for inside the last leaf.
+by level, so no task ever holds a whole source. A leaf per source is held back
+unsettled until the source is down to one leaf; there, what the last open document
+misses is made up for.
 """
 
 from __future__ import annotations
@@ -109,18 +110,19 @@ def _settle(leaf: Column, seed: int) -> Column:
     return F.aggregate(F.slice(leaf, 2, F.greatest(F.size(leaf) - 1, F.lit(0))), start, step)
 
 
-def _close(leaf: Column, s: Column, seed: int, steps: int) -> Column:
+def _close(leaf: Column, s: Column, seed: int) -> Column:
     """All of a source's last leaf settled: array of (at, up).
 
     The open document is drawn, and the words by which that misses are made up for by
-    moving the document of fitting size that leaves the least, up to ``steps`` times.
+    moving the document of fitting size that leaves the least, until no move leaves less.
+    Each move leaves less than before, so that no state comes twice; the steps allowed are far more than are ever taken.
     """
-    kind = "struct<off:double,all:array<struct<at:int,up:int,words:double>>>"
+    kind = "struct<off:double,stop:boolean,all:array<struct<at:int,up:int,words:double>>>"
     draw = F.pmod(F.xxhash64(F.lit(seed), s["tie"]), F.lit(1 << 52)) / F.lit(float(1 << 52))
     last = (draw < s["p"]).cast("int")
     settled = F.transform(s["done"], lambda d: F.struct(d["at"].alias("at"), d["up"].alias("up"), F.get(leaf, d["at"])["words"].alias("words")))
     every = F.concat(settled, F.array(F.struct(s["at"].alias("at"), last.alias("up"), s["words"].alias("words"))))
-    start = F.struct(((s["p"] - last) * s["words"]).alias("off"), every.alias("all")).cast(kind)
+    start = F.struct(((s["p"] - last) * s["words"]).alias("off"), F.lit(False).alias("stop"), every.alias("all")).cast(kind)
 
     def best(c: Column) -> Column:
         movable = F.filter(c["all"], lambda x: x["up"] == (c["off"] < 0).cast("int"))
@@ -130,13 +132,15 @@ def _close(leaf: Column, s: Column, seed: int, steps: int) -> Column:
         def moved(held: Column, b: Column) -> Column:
             new = F.struct(
                 (held["off"] - F.signum(held["off"]) * b["words"]).alias("off"),
+                F.lit(False).alias("stop"),
                 F.transform(held["all"], lambda x: F.struct(x["at"].alias("at"), F.when(x["at"] == b["at"], 1 - x["up"]).otherwise(x["up"]).alias("up"), x["words"].alias("words"))).alias("all"),
             ).cast(kind)
-            return F.when(b["left"] < F.abs(held["off"]), new).otherwise(held)
+            stopped = F.struct(held["off"].alias("off"), F.lit(True).alias("stop"), held["all"].alias("all")).cast(kind)
+            return F.when(b["left"] < F.abs(held["off"]), new).otherwise(stopped)
 
-        return F.aggregate(F.array(best(c)), c, moved)
+        return F.when(c["stop"], c).otherwise(F.aggregate(F.array(best(c)), c, moved))
 
-    return F.transform(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["all"], lambda x: F.struct(x["at"].alias("at"), x["up"].alias("up"), F.lit(None).cast("double").alias("p")))
+    return F.transform(F.aggregate(F.sequence(F.lit(1), F.size(leaf) * 16 + 16), start, step)["all"], lambda x: F.struct(x["at"].alias("at"), x["up"].alias("up"), F.lit(None).cast("double").alias("p")))
 
 
 def mix(
@@ -149,7 +153,6 @@ def mix(
     weights=WEIGHTS,
     max_repeat: float = MAX_REPEAT,
     leaf_rows: int = 256,
-    corrections: int = 4,
     seed: int = 17,
 ) -> DataFrame:
     """How often each row of ``docs`` goes into the mix.
@@ -161,8 +164,8 @@ def mix(
     A null or empty text has size 0, takes nothing and has 0 copies; a null source is a source of its own, the
     last in turn. Ties and repeated rows are settled separately. An empty table
     gives an empty table. Other columns are ignored, whatever their names.
-    In a source's last leaf, up to ``corrections`` documents are moved between their two possible numbers of copies,
-    to make up for the one left open. Draws are hashes of the keys and sizes, so that a rerun gives the same mix.
+    In a source's last leaf, documents are moved between their two possible numbers of copies, until no
+    move makes up for more of what the one left open misses. Draws are hashes of the keys and sizes, so that a rerun gives the same mix.
     """
     size = word_count(F.col(text)) if size is None else size
     slim = materialize(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), size.alias("size")), "mix-sizes")
@@ -179,17 +182,17 @@ def mix(
     while True:
         most = -(-most // leaf_rows)
         open_ = open_.withColumn("rows", F.ceil(F.col("rows") / leaf_rows))
-        open_ = open_.withColumn("leaf", F.pmod(F.xxhash64(F.lit(level), "leaf"), F.col("rows")))
+        open_ = open_.withColumn("leaf", F.when(F.col("leaf") == 0, F.lit(0)).otherwise(F.pmod(F.xxhash64(F.lit(level), "leaf"), F.col("rows"))))
         member = F.struct((-F.col("size")).alias("order"), "tie", F.col("size").cast("double").alias("words"), "p", "id", "source", "source_size", "target", "whole")
         leaves = open_.groupBy("rank", "leaf", "rows").agg(F.sort_array(F.collect_list(member)).alias("m"))
         leaves = leaves.withColumn("s", _settle(F.col("m"), seed + level))
-        if most <= 1:
-            results = _close(F.col("m"), F.col("s"), seed + level + 1, corrections)
-        else:
-            results = F.concat(
-                F.transform(F.col("s.done"), lambda d: F.struct(d["at"].alias("at"), d["up"].alias("up"), F.lit(None).cast("double").alias("p"))),
-                F.array(F.struct(F.col("s.at").alias("at"), F.lit(None).cast("int").alias("up"), F.col("s.p").alias("p"))),
-            )
+        unsettled = F.lit(None).cast("int").alias("up")
+        held = F.transform("m", lambda x, i: F.struct(i.alias("at"), unsettled, x["p"].alias("p")))
+        passed = F.concat(
+            F.transform(F.col("s.done"), lambda d: F.struct(d["at"].alias("at"), d["up"].alias("up"), F.lit(None).cast("double").alias("p"))),
+            F.array(F.struct(F.col("s.at").alias("at"), unsettled, F.col("s.p").alias("p"))),
+        )
+        results = F.when(F.col("rows") <= 1, _close(F.col("m"), F.col("s"), seed + level + 1)).when(F.col("leaf") == 0, held).otherwise(passed)
         leaves = leaves.select("rank", "leaf", "rows", "m", F.explode(results).alias("r")).withColumn("m", F.get("m", F.col("r.at")))
         settled = leaves.select(
             "rank", "leaf", "rows", "m.id", "m.source", (-F.col("m.order")).alias("size"), "m.source_size", "m.target", "m.whole", "m.tie", "r.up", "r.p"

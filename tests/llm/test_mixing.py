@@ -89,3 +89,25 @@ def test_rows(spark):
         assert abs(sum(len(r["text"].split()) for r in got if r["source"] == s) - t) <= 10
     for r in got:
         assert sum(x["doc_id"] == r["doc_id"] for x in got) <= 3 * sum(i == r["doc_id"] for i, _, _ in rows)
+
+
+def off_target(out):
+    by = {}
+    for r in out:
+        taken, _ = by.get(r["source"], (0, 0))
+        by[r["source"]] = taken + r["taken"], r["target"]
+    return {s: abs(taken - t) / t for s, (taken, t) in by.items()}
+
+
+def test_every_source_is_closed_in_a_full_leaf(spark):
+    # small sources beside one of many leaves, and one of two leaves
+    def text(i, step):
+        return "w " * int(10 ** (1 + (i * step) % 300 / 100))
+
+    rows = [(i, text(i, 7919), f"s{i % 20:02d}") for i in range(1000)] + [(1000 + i, text(i, 104729), "t" if i < 600 else "u") for i in range(900)]
+    assert max(off_target(mix(docs(spark, rows)).collect()).values()) < 0.005
+
+
+def test_one_huge_document_is_made_up_for(spark):
+    rows = [(i, "w " * (40 + (i * 7919) % 320), f"s{i % 8}") for i in range(1600)] + [(2000 + i, "w " * (10_000 + 1300 * i), f"s{i}") for i in range(8)]
+    assert max(off_target(mix(docs(spark, rows)).collect()).values()) < 0.01
