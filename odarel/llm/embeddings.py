@@ -2,7 +2,9 @@
 
 Each pass sorts the vectors of a label by the concatenated signs of random
 projections and compares neighbours in a bounded window. Near pairs agree on
-most signs, so that they come close in some pass. Verified pairs of all passes are
+most signs, so that they come close in some pass. Rows of a pass that share a label's leading signs
+but are more than a window, as where vectors share a direction, are compared in blocks instead, all with
+all; how many signs lead follows from the measured numbers of rows that share them. Verified pairs of all passes are
 united to components, and all pairs inside a component are then compared in blocks, so that a group
 larger than the window loses no link.
 """
@@ -22,6 +24,8 @@ from odarel.llm.graph import Forest, compare_within, components
 from odarel.llm.shared import materialize
 
 BITS = 48
+#: Passes in which rows are counted by their leading signs, and passes up to which more signs are tried than even rows need.
+PROBES, MOST_PASSES = 4, 48
 
 
 @cache
@@ -29,16 +33,20 @@ def _planes(dim: int, passes: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, passes * BITS))
 
 
-def passes_for(rows: int, window: int, threshold: float, miss: float) -> int:
-    """Passes after which a pair at the threshold has missed every window with probability ``miss`` at most.
+def passes_at(signs: float, threshold: float, miss: float) -> int:
+    """Passes after which a pair at the threshold has never shared its first ``signs`` signs with probability ``miss`` at most.
 
-    Two vectors share a sign with probability 1 - angle / pi, and are surely in a
-    window once they share the log2(rows / window) signs that leave a window's rows.
+    Two vectors share a sign with probability 1 - angle / pi.
     """
-    share = (1 - math.acos(threshold) / math.pi) ** max(1.0, math.log2(max(2, rows) / window) + 1)
+    share = (1 - math.acos(threshold) / math.pi) ** max(1.0, signs)
     return max(4, math.ceil(math.log(miss) / math.log1p(-share)))
 
 
+def passes_for(rows: int, window: int, threshold: float, miss: float) -> int:
+    """``passes_at`` the log2(rows / window) + 1 signs that leave a window's rows if rows spread evenly."""
+    return passes_at(math.log2(max(2, rows) / window) + 1, threshold, miss)
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Vectors of one length as rows of doubles."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -50,7 +58,7 @@ def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _keys(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
-    """A row per vector and pass with the 48 signs as a number."""
+    """A row per vector and pass, of its label's ``passes``, with the 48 signs and the ``lead`` of them as numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = np.left_shift(np.int64(1), np.arange(BITS)[::-1].astype(np.int64))
@@ -61,16 +69,87 @@ def _keys(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
                 signs = _matrix(part.column(3)) @ _planes(int(dim), passes, seed) > 0
                 keys = signs.reshape(part.num_rows, passes, BITS) @ powers
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, passes, dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=["label", "dim", "cls", "v", "keys"])
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=["label", "dim", "cls", "v", "signs", "passes", "keys"])
+
+    kinds = "label string, dim int, cls long, v array<double>, signs int, passes int, keys array<long>"
+    keyed = vectors.select("label", "dim", "cls", "v", "signs", "passes").mapInArrow(run, kinds)
+    keyed = keyed.select("label", "dim", "cls", "v", "signs", F.posexplode(F.slice("keys", F.lit(1), F.col("passes"))).alias("pass", "key"))
+    return keyed.withColumn("lead", F.expr(f"shiftright(key, {BITS} - signs)"))
 
-    keyed = vectors.select("label", "dim", "cls", "v").mapInArrow(run, "label string, dim int, cls long, v array<double>, keys array<long>")
-    return keyed.select("label", "dim", "cls", "v", F.posexplode("keys").alias("pass", "key"))
+
+def _plan(classes: DataFrame, window: int, threshold: float, miss: float, seed: int) -> tuple[DataFrame, int]:
+    """Leading signs and passes per label and length, and the most passes of any.
+
+    Labels of a window's rows need no sign. For others the numbers of rows that share their leading signs
+    are measured in a few passes. From the signs that even rows would need to those for ``MOST_PASSES`` passes, the
+    number is taken that leaves the fewest comparisons. All labels have the passes of the largest at least.
+    """
+    sizes = materialize(classes.groupBy("label", "dim").agg(F.count("*").alias("rows")), "vectors-sizes")
+    largest = sizes.agg(F.max("rows")).first()[0] or 0
+    least = passes_for(largest, window, threshold, miss)
+    even = max(0, math.floor(math.log2(max(2, largest) / window) + 1))
+    depths = range(0, max([even, *[k for k in range(1, BITS) if passes_at(k, threshold, miss) <= MOST_PASSES]]) + 1)
+    cost = F.array(*[F.lit(max(least, passes_at(k, threshold, miss))) for k in depths])
+    first = F.when(F.col("rows") <= window, 0).otherwise(F.greatest(F.lit(1), F.floor(F.log2(F.col("rows") / window) + 1))).cast("int")
+    sizes = sizes.withColumn("first", first)
+    probed = _keys(classes.withColumn("signs", F.lit(depths[-1])).withColumn("passes", F.lit(PROBES)), PROBES, seed)
+    shared = materialize(probed.groupBy("label", "dim", "pass", "lead").agg(F.count("*").alias("n")), "vectors-shared")
+    tried = sizes.filter("first > 0").select("label", "dim", F.explode(F.sequence("first", F.greatest("first", F.lit(depths[-1])))).alias("signs"))
+    found = shared.join(tried, ["label", "dim"]).groupBy("label", "dim", "signs", "pass", F.expr(f"shiftright(lead, {depths[-1]} - signs)").alias("lead")).agg(F.sum("n").alias("n"))
+    work = found.groupBy("label", "dim", "signs").agg(F.sum(F.col("n") * F.greatest("n", F.lit(window))).alias("work"))
+    best = work.withColumn("work", F.col("work").cast("double") * F.get(cost, F.col("signs"))).groupBy("label", "dim").agg(F.min(F.struct("work", "signs"))["signs"].alias("best"))
+    plan = sizes.join(best, ["label", "dim"], "left").select("label", "dim", F.coalesce("best", "first").alias("signs"))
+    plan = materialize(plan.withColumn("passes", F.get(cost, F.col("signs"))), "vectors-plan")
+    return plan, plan.agg(F.max("passes")).first()[0] or 4
+
+
+def _spanning(threshold: float):
+    """Edges that join what links inside a block or between two: a star per component, so never more than rows."""
+
+    def compare(x: pa.Table, y: pa.Table | None) -> pa.Table:
+        xv, xi = _matrix(x.column("v")), x.column("node").to_numpy()
+        yv, yi = (xv, xi) if y is None else (_matrix(y.column("v")), y.column("node").to_numpy())
+        a, b = [], []
+        if len(xi) and len(yi):
+            near = _cosines(xv, yv) >= threshold
+            x_open, y_open = near.any(axis=1), near.any(axis=0)
+            while x_open.any():
+                root = int(np.argmax(x_open))
+                edge, x_open[root] = np.array([root]), False
+                while len(edge):
+                    over = np.flatnonzero(near[edge].any(axis=0) & y_open)
+                    y_open[over] = False
+                    edge = np.flatnonzero(near[:, over].any(axis=1) & x_open)
+                    x_open[edge] = False
+                    for ids in (yi[over], xi[edge]):
+                        ids = ids[ids != xi[root]]
+                        a.append(np.full(len(ids), xi[root], np.int64))
+                        b.append(ids)
+        both = [pa.array(np.concatenate(c) if c else [], pa.int64()) for c in (a, b)]
+        return pa.table({"a": both[0], "b": both[1]})
+
+    return compare
+
+
+def _links(keyed: DataFrame, window: int, threshold: float) -> DataFrame:
+    """Edges between near rows of each pass that share its leading signs or are neighbours."""
+    group = ["pass", "label", "dim", "lead"]
+    heavy = materialize(keyed.groupBy(*group).count().filter(F.col("count") > window).select(*group), "vectors-heavy")
+    n = heavy.count()
+    if not n:
+        return _window_links(keyed, window, threshold)
+    held = F.broadcast(heavy) if n <= 1_000_000 else heavy
+    members = keyed.join(held, group).select(F.xxhash64(*group).alias("comp"), F.col("cls").alias("node"), "v", (F.col("dim") * 8).cast("long").alias("bytes"))
+    return _window_links(keyed.join(held, group, "left_anti"), window, threshold).union(compare_within(members, _spanning(threshold), "a long, b long"))
 
 
 def _window_links(keyed: DataFrame, window: int, threshold: float) -> DataFrame:
-    """Edges between near neighbours of each pass: per partition only those that join two trees."""
+    """Edges between near neighbours of each pass: per partition only those that join two trees.
+
+    Rows that share their leading signs are never in two partitions.
+    """
     order = ["pass", "label", "dim", "key", "cls"]
-    lined = keyed.select(*order, "v").repartitionByRange(*order).sortWithinPartitions(*order)
+    lined = keyed.select(*order, "v", "lead").repartitionByRange("pass", "label", "dim", "lead").sortWithinPartitions(*order).select(*order, "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, tail_at, tail, tail_ids = Forest(), None, None, None
@@ -124,8 +203,8 @@ def near_vectors(
     its least key; the row with that key is kept. Equal vectors are compared once
     and counted as often as they are there. Null, zero and empty vectors, ones with null or
     non-finite components and null labels link with nothing, and neither does a
-    null key. Repeated rows are further copies. The number of passes follows from the largest label and
-    ``miss``, the share of links at the threshold that may be lost between components.
+    null key. Repeated rows are further copies. The number of passes follows from the largest label, from how
+    unevenly each label's vectors lie and from ``miss``, the share of links at the threshold that may be lost between components.
     """
     rows = vectors.select(F.col(key).alias("key"), F.col(label).cast("string").alias("label"), F.transform(F.col(vector), lambda x: x.cast("double") + F.lit(0.0)).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -133,9 +212,9 @@ def near_vectors(
     rows = materialize(rows.withColumn("ok", F.coalesce(usable, F.lit(False))), "vectors")
     classes = rows.filter("ok").groupBy("label", "v").agg(F.min("key").alias("cls"), F.count("*").alias("m"))
     classes = materialize(classes.select("label", F.size("v").alias("dim"), "cls", "m", "v"), "vectors-classes")
-    largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    keyed = _keys(classes, passes_for(largest, window, threshold, miss), seed)
-    linked = materialize(components(_window_links(keyed, window, threshold), "vectors"), "vectors-components")
+    plan, passes = _plan(classes, window, threshold, miss, seed)
+    keyed = _keys(classes.join(plan, ["label", "dim"]), passes, seed)
+    linked = materialize(components(_links(keyed, window, threshold), "vectors"), "vectors-components")
     members = classes.join(linked, classes["cls"] == linked["node"]).select(F.col("root").alias("comp"), "node", "m", "v", (F.col("dim") * 8).cast("long").alias("bytes"))
     counts = compare_within(members, _link_counts(threshold), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
     known = classes.select("label", "v", "cls", "m").join(linked.withColumnRenamed("node", "cls"), "cls", "left").join(counts.withColumnRenamed("node", "cls"), "cls", "left")

@@ -48,3 +48,21 @@ def test_odd_rows(spark):
 
 def test_passes_grow_slowly():
     assert passes_for(100, 128, 0.93, 1e-4) <= passes_for(10**6, 128, 0.93, 1e-4) < passes_for(10**9, 128, 0.93, 1e-4) < 400
+
+
+def test_shared_direction_loses_no_link(spark):
+    # a label whose vectors lean one way: few sign patterns hold most rows, more than a window each
+    rng = np.random.default_rng(5)
+    dim, groups = 64, 600
+    lean = 5 * rng.standard_normal(dim) / np.sqrt(dim)
+    centres = lean + rng.standard_normal((groups, dim)) * 2.2 / np.sqrt(dim)
+    x = np.repeat(centres, 2, axis=0) + rng.standard_normal((2 * groups, dim)) * 1.3 / np.sqrt(dim)
+    n = np.linalg.norm(x, axis=1)
+    s = (x @ x.T) / np.outer(n, n) >= 0.93
+    np.fill_diagonal(s, False)
+    roots = brute.classes(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(s)), strict=True)])
+    assert 100 < s.sum() / 2 and len(set(roots.values())) > len(x) / 4
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in near_vectors(df, window=8).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == s.sum(axis=1).tolist()
+    assert [got[i]["component_id"] for i in range(len(x))] == [roots[i] for i in range(len(x))]
