@@ -405,7 +405,8 @@ class Engine:
         if len(rest) == 2 and rest[1] == "$count":
             return planned.scope.df.count()
         one = relation.kind == "one" and not relation.through
-        value = envelope.rows(planned.shown(planned.paged(always=not one)).limit(1 if one else self.config.page_size))
+        found = planned.shown(planned.paged(always=not one))
+        value = envelope.rows(found.limit(1) if one else found)
         if one:
             return {"@odata.context": f"{self.config.base}/$metadata#{target.name}/$entity", **value[0]} if value else None
         out = {"@odata.context": f"{self.config.base}/$metadata#{target.name}"}

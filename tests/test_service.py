@@ -203,3 +203,12 @@ def test_values():
 
     assert duration(timedelta(days=1, hours=2, seconds=3.5)) == "P1DT2H3.5S" and duration(timedelta(0)) == "PT0S"
     assert plain(Decimal("1E+3")) == "1000" and plain(b"ab") == "YWI=" and plain(float("inf")) == "INF"
+
+
+def test_navigation_gives_all_children(engine):
+    for i in range(100, 107):
+        engine.create("OrderItems", {"id": i, "orderId": 1})
+    own = engine.catalog.frame("OrderItems").filter("orderId = 1").count()
+    page = engine.get("Orders(1)/items?$count=true")
+    assert own > engine.config.page_size and len(page["value"]) == page["@odata.count"] == own
+    assert len(engine.get("Orders(1)/items?$top=2")["value"]) == 2
