@@ -221,7 +221,7 @@ class Engine:
         if (taken := self.registry.run("on", "READ", entity.name, {"set": entity.name, "options": o, "engine": self})) is not None:
             return taken if isinstance(taken, dict) else self._called(taken)
         if o.deltatoken is not None:
-            return self._delta(entity, o)
+            return self._delta(entity, o, path)
         preferred = re.search(r"odata\.maxpagesize=(\d+)|(?:^|[,\s])maxpagesize=(\d+)", prefer)
         page = min(self.config.page_size, int(preferred[1] or preferred[2]) or 1) if preferred else self.config.page_size
         top, skip = o.top, o.skip
@@ -326,7 +326,8 @@ class Engine:
         token = tokens.sign(payload, self.config.secret)
         return f"{self.config.base}/{path}?{urlencode({'$deltatoken': token}, quote_via=quote)}"
 
-    def _delta(self, entity: EntitySet, o: Options) -> dict:
+    def _delta(self, entity: EntitySet, o: Options, path: str) -> dict:
+        """A page of changes; the last one also has what is gone, and the link taken before the first."""
         if not self.config.delta:
             raise ODataError("delta is not enabled")
         payload = tokens.verify(o.deltatoken, self.config.secret, self.config.delta_ttl, expired=410)
@@ -334,6 +335,8 @@ class Engine:
             raise ODataError("the token belongs to another set")
         again = self._options(payload["options"])
         planned, _ = self._planned(entity.name, again)
+        out: dict = {"@odata.context": f"{self.config.base}/$metadata#{entity.name}/$delta"}
+        link = payload["link"] if "after" in payload else self._delta_link(entity, planned, path, payload["options"])
         if "buckets" in payload:
             now = planned.scope.df
             schema = now.schema
@@ -354,9 +357,21 @@ class Engine:
                 gone = [{"@removed": {"reason": "deleted"}, **{k: r[k] for k in entity.keys}} for r in envelope.rows(tombstones(before, planned.scope.df, list(entity.keys)))]
             if "lastValue" in payload:
                 planned.scope.df = planned.scope.df.filter(changed(planned.scope, payload["lastValue"], payload["keyValues"]))
+            if "after" in payload:
+                planned.scope.df = planned.scope.df.filter(after(planned.scope, planned.orders, payload["after"]))
             by = planned.sorted()
-            value = envelope.rows(planned.shown(planned.scope.df.orderBy(*by).limit(self.config.page_size))) + gone
-        return {"@odata.context": f"{self.config.base}/$metadata#{entity.name}/$delta", "value": value}
+            marks = [planned.scope.compiler.column(x.expr).alias(f"__mark{i}") for i, x in enumerate(planned.orders)]
+            page, df = self.config.page_size, planned.scope.df.orderBy(*by)
+            places = df.limit(page + 1).select(*marks).collect()
+            value = envelope.rows(planned.shown(df.limit(page)))
+            if len(places) > page:
+                token = tokens.sign(payload | {"after": [envelope.plain(v) for v in places[page - 1]], "link": link}, self.config.secret)
+                out["@odata.nextLink"] = f"{self.config.base}/{path}?{urlencode({'$deltatoken': token}, quote_via=quote)}"
+                return out | {"value": value}
+            value += gone
+        if link is not None:
+            out["@odata.deltaLink"] = link
+        return out | {"value": value}
 
     # entities
 

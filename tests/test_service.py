@@ -212,3 +212,22 @@ def test_navigation_gives_all_children(engine):
     page = engine.get("Orders(1)/items?$count=true")
     assert own > engine.config.page_size and len(page["value"]) == page["@odata.count"] == own
     assert len(engine.get("Orders(1)/items?$top=2")["value"]) == 2
+
+
+def test_delta_pages(engine):
+    engine.config.page_size = 50
+    link = engine.get("Products")["@odata.deltaLink"]
+    for i in range(20, 27):
+        engine.create("Products", {"id": i, "name": "New", "updatedAt": f"2025-01-{47 - i:02d} 00:00:00"})
+    engine.delete("Products", 3)
+    engine.config.page_size = 3
+    seen, links = [], []
+    while link:
+        page = engine.get(link)
+        seen += page["value"]
+        links += [page["@odata.deltaLink"]] if "@odata.deltaLink" in page else []
+        link = page.get("@odata.nextLink")
+    assert [r["id"] for r in seen if "@removed" not in r] == list(range(20, 27)) and [r["id"] for r in seen if "@removed" in r] == [3]
+    assert len(links) == 1 and engine.get(links[0])["value"] == []
+    engine.create("Products", {"id": 30, "name": "New", "updatedAt": "2025-03-01 00:00:00"})
+    assert [r["id"] for r in engine.get(links[0])["value"]] == [30]
