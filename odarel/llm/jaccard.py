@@ -205,6 +205,20 @@ def _compare(threshold: float, tolerance: float, k: int):
     return compare
 
 
+def _classed(texts: DataFrame, k: int) -> DataFrame:
+    """``rep``, ``text`` and ``cls``, a row per class of ``texts``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [shingles(v.as_py(), k) for v in batch.column(1)]
+            classes = pa.array([class_of(g) if len(g) else None for g in grams], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, classes], names=["rep", "text", "cls"])
+
+    schema = StructType([*texts.select("rep", "text").schema.fields, StructField("cls", LongType())])
+    found = texts.select("rep", "text").filter("text is not null").mapInArrow(run, schema).filter("cls is not null")
+    return found.groupBy("cls").agg(F.first("rep").alias("rep"), F.first("text").alias("text"))
+
+
 def _joined(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8, k: int = 5, tolerance: float = 1e-6, broadcast_rows: int = 1_000_000
 ) -> DataFrame:
@@ -215,19 +229,24 @@ def _joined(
     reps = materialize(classes.join(near, classes["cls"] == near["node"]).select("rep", "node", "m", F.col("root").alias("comp")), "jaccard-members")
     few = reps.count() <= broadcast_rows
     texts = docs.select(F.col(key).alias("rep"), F.col(text).alias("text"))
-    members = texts.join(F.broadcast(reps) if few else reps, "rep").withColumn("bytes", F.octet_length("text").cast("long"))
+    members = texts.join(F.broadcast(reps) if few else reps, "rep")
+    if not reps.filter("rep is null").isEmpty():  # a null key tells no class, so these are found by class
+        keyless = _classed(texts.filter("rep is null"), k).join(reps.filter("rep is null").drop("rep").withColumnRenamed("node", "cls"), "cls")
+        members = members.unionByName(keyless.withColumnRenamed("cls", "node"))
+    members = members.withColumn("bytes", F.octet_length("text").cast("long"))
     members = materialize(members, "jaccard-texts")
     found = materialize(compare_within(members, _compare(threshold, tolerance, k), "a long, b long, n long"), "jaccard-links")
     linked = components(found.filter("a <> b").select("a", "b"), "jaccard-classes")
     counts = found.filter("a = b").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
     known = classes.join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")).join(counts, "cls", "left")
     first = known.groupBy("root").agg(F.min("rep").alias("class_id"))
-    known = known.join(first, "root").select("cls", "class_id", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n"))
+    known = known.join(first, "root").select("cls", "root", "class_id", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n"))
     known = materialize(known, "jaccard-known")
     out = sketch.select("key", "cls").join(known, "cls", "left")
     return out.select(
         F.col("key").alias(key),
         "cls",
+        "root",
         F.when(F.col("cls").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
         (F.col("cls").isNull() | F.col("key").eqNullSafe(F.col("class_id"))).alias("kept"),
@@ -250,7 +269,7 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **
     reported is exact but for equal 64-bit hashes. Texts move only if the classes in candidate groups
     exceed ``broadcast_rows`` rows of some 40 bytes.
     """
-    return _joined(docs, key=key, text=text, **options).drop("cls")
+    return _joined(docs, key=key, text=text, **options).drop("cls", "root")
 
 
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -277,7 +296,7 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **o
 
     many = docs.join(repeated, docs[key].eqNullSafe(F.col("again")), "left_semi")
     many = many.mapInArrow(classed, StructType([*docs.schema.fields, StructField("__class", LongType())]))
-    kept = found.filter("kept and cls is not null").select(F.col(key).alias("__key"), F.col("cls").alias("__kept")).distinct()
-    rows = many.join(kept, many[key].eqNullSafe(kept["__key"]) & (many["__class"] == kept["__kept"]), "left_semi")
-    one = rows.groupBy(F.col(key).alias("__key"), "__class").agg(F.any_value(F.struct(*names)).alias("row")).select("row.*")
+    kept = found.filter("kept and cls is not null").select(F.col(key).alias("__key"), F.col("cls").alias("__kept"), F.col("root").alias("__root")).distinct()
+    rows = many.join(kept, many[key].eqNullSafe(kept["__key"]) & (many["__class"] == kept["__kept"])).select(*[many[c] for c in names], "__root")
+    one = rows.groupBy(F.col(key).alias("__key"), "__root").agg(F.any_value(F.struct(*names)).alias("row")).select("row.*")
     return single.union(one).union(many.filter("__class is null").select(*names))

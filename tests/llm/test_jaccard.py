@@ -72,3 +72,12 @@ def test_odd_rows(spark):
 def test_pruning_is_safe():
     least = least_matches(0.8, 1e-6)
     assert least == sorted(least) and all(m < 32 * (i + 1) * 0.8 for i, m in enumerate(least))
+
+
+def test_null_keys_link(spark):
+    base = [f"word{i}" for i in range(120)]
+    rows = [(None, " ".join(base)), (None, " ".join([*base[:-1], "other"])), (None, " ".join(base)), (None, "quite another text of a few words"), (1, "one more text with its own words")]
+    got = jaccard_join(frame(spark, rows)).collect()
+    assert sorted(r["n_links"] for r in got) == [0, 0, 2, 2, 2]
+    kept = one_of_each(frame(spark, rows)).collect()
+    assert len(kept) == 3 and sum(r["text"].startswith("word0") for r in kept) == 1
