@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,6 +97,37 @@ def _arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+def stars(n: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray], chunk: int = 64) -> Iterator[tuple[int, np.ndarray]]:
+    """Each root among 0..n-1 with all that links reach from it, so a star per component.
+
+    ``near(i, j)`` says which pairs of rows i and j link, as a matrix. A row is asked about only until it is
+    reached: a group of n rows that are all alike takes n comparisons, not n * n.
+    """
+    rest = np.arange(n)
+    while len(rest) > 1:
+        root, rest = int(rest[0]), rest[1:]
+        edge = np.array([root])
+        while len(edge) and len(rest):
+            hit = np.zeros(len(rest), bool)
+            for lo in range(0, len(edge), chunk):
+                open_ = np.flatnonzero(~hit)
+                if not len(open_):
+                    break
+                hit[open_] = near(edge[lo : lo + chunk], rest[open_]).any(axis=0)
+            edge, rest = rest[hit], rest[~hit]
+            if len(edge):
+                yield root, edge
+
+
+def star_edges(nodes: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pa.Table:
+    """``stars`` as edges (a, b) of ``nodes``."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for root, others in stars(len(nodes), near):
+        a.append(np.full(len(others), nodes[root], np.int64))
+        b.append(nodes[others].astype(np.int64))
+    return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+
+
 class Forest:
     """Union-find over hashable nodes; ``join`` says whether it merged two trees."""
 

@@ -39,8 +39,6 @@ def test_equals_brute_force(spark):
     rows = corpus()
     got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join(frame(spark, rows)).collect())
     assert got == brute.jaccard(rows)
-    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join(frame(spark, rows), broadcast_rows=0).collect())
-    assert got == brute.jaccard(rows)
 
 
 def test_small_blocks(spark, monkeypatch):
@@ -81,3 +79,37 @@ def test_null_keys_link(spark):
     assert sorted(r["n_links"] for r in got) == [0, 0, 2, 2, 2]
     kept = one_of_each(frame(spark, rows)).collect()
     assert len(kept) == 3 and sum(r["text"].startswith("word0") for r in kept) == 1
+
+
+def test_a_chain_of_loosely_alike_texts_is_no_group(spark, monkeypatch):
+    # neighbours have a similarity of 0.5, so that many share a bucket; every tenth text has a near copy
+    from odarel.llm import jaccard
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(9000)]
+    rows = [(i, words[i * 30 : i * 30 + 94]) for i in range(280)]
+    rows += [(1000 + i, [*rows[i][1][:-1], "changed"]) for i in range(0, 280, 10)]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    moved = []
+
+    def watched(members, compare, schema, **options):
+        if "text" in members.columns:
+            moved.append(members.groupBy("comp").count().agg({"count": "max"}).first()[0])
+        return compare_within(members, compare, schema, **options)
+
+    compare_within = jaccard.compare_within
+    monkeypatch.setattr(jaccard, "compare_within", watched)
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join(frame(spark, rows)).collect())
+    assert got == brute.jaccard(rows) and sum(n for _, _, n in got) == 56
+    assert moved and moved[0] <= 8
+
+
+def test_names_that_are_used_inside(spark):
+    rows = corpus(9)[:60] + [(None, "a text without a key"), (None, "a text without a key")]
+    columns = ["again", "i1", "row", "cls", "first"]
+    df = spark.createDataFrame([(i, t, *[n] * 5) for n, (i, t) in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"{c} int" for c in columns))
+    out = one_of_each(df)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert sum(r["doc_id"] is None for r in got) == 1 and all(rows[r["i1"]] == (r["doc_id"], r["text"]) for r in got)
+    assert {r["doc_id"] for r in got if r["doc_id"] is not None} == {c for _, c, _ in brute.jaccard(rows[:60])}
