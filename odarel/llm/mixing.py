@@ -62,6 +62,20 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: float = MAX_RE
     return per.select("source", "rank", "rows", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
+def _numbered(slim: DataFrame, block: int = 4096) -> DataFrame:
+    """``slim`` with ``nth``, which tells rows equal in id, source and size apart.
+
+    Equal rows are counted, on the map side first, and dealt out again; a row that is there more than ``block``
+    times is dealt out by blocks in as many tasks as there are.
+    """
+    counted = materialize(slim.groupBy("id", "source", "size").count(), "mix-counted")
+    few = counted.filter(F.col("count") <= block).select("id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("nth"))
+    many = counted.filter(F.col("count") > block).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / block))).alias("part"))
+    first = F.col("part") * block + 1
+    many = many.repartition("id", "part").select("id", "source", "size", F.explode(F.sequence(first, F.least(F.col("count"), F.col("part") * block + block))).alias("nth"))
+    return few.union(many)
+
+
 def _settle(leaf: Column, seed: int) -> Column:
     """Fold a leaf's documents; gives an array of (at, up) and the open one with its probability.
 
@@ -114,10 +128,11 @@ def _close(leaf: Column, s: Column, seed: int) -> Column:
     """All of a source's last leaf settled: array of (at, up).
 
     The open document is drawn, and the words by which that misses are made up for by
-    moving the document of fitting size that leaves the least, until no move leaves less.
+    moving the document of fitting size that leaves the least, or two in opposite ways, until no move leaves less.
     Each move leaves less than before, so that no state comes twice; the steps allowed are far more than are ever taken.
     """
     kind = "struct<off:double,stop:boolean,all:array<struct<at:int,up:int,words:double>>>"
+    move_kind = "struct<left:double,at:int,back:int,words:double>"
     draw = F.pmod(F.xxhash64(F.lit(seed), s["tie"]), F.lit(1 << 52)) / F.lit(float(1 << 52))
     last = (draw < s["p"]).cast("int")
     settled = F.transform(s["done"], lambda d: F.struct(d["at"].alias("at"), d["up"].alias("up"), F.get(leaf, d["at"])["words"].alias("words")))
@@ -125,18 +140,31 @@ def _close(leaf: Column, s: Column, seed: int) -> Column:
     start = F.struct(((s["p"] - last) * s["words"]).alias("off"), F.lit(False).alias("stop"), every.alias("all")).cast(kind)
 
     def best(c: Column) -> Column:
-        movable = F.filter(c["all"], lambda x: x["up"] == (c["off"] < 0).cast("int"))
-        return F.array_min(F.transform(movable, lambda x: F.struct(F.abs(F.abs(c["off"]) - x["words"]).alias("left"), x["at"].alias("at"), x["words"].alias("words"))))
+        """The move that leaves the least: a document, or if none leaves less than before, one for another."""
+        def move(miss: Column, x: Column, at: Column, words: Column) -> Column:
+            return F.struct(F.abs(miss - (x["words"] - words)).alias("left"), x["at"].alias("at"), at.alias("back"), (x["words"] - words).alias("words")).cast(move_kind)
+
+        def swapped(m: Column, single: Column) -> Column:
+            swaps = F.transform(m["there"], lambda x: F.array_min(F.transform(m["back"], lambda y: move(m["miss"], x, y["at"], y["words"]))))
+            return F.when(single["left"] < m["miss"] - 1e-6, single).otherwise(F.array_min(swaps))
+
+        def found(m: Column) -> Column:
+            single = F.array_min(F.transform(m["there"], lambda x: move(m["miss"], x, F.lit(-1), F.lit(0.0))))
+            return F.get(F.transform(F.array(single), lambda one: swapped(m, one)), F.lit(0))
+
+        way = (c["off"] < 0).cast("int")
+        sides = F.struct(F.abs(c["off"]).alias("miss"), F.filter(c["all"], lambda x: x["up"] == way).alias("there"), F.filter(c["all"], lambda x: x["up"] != way).alias("back"))
+        return F.get(F.transform(F.array(sides), found), F.lit(0))
 
     def step(c: Column, _: Column) -> Column:
         def moved(held: Column, b: Column) -> Column:
             new = F.struct(
                 (held["off"] - F.signum(held["off"]) * b["words"]).alias("off"),
                 F.lit(False).alias("stop"),
-                F.transform(held["all"], lambda x: F.struct(x["at"].alias("at"), F.when(x["at"] == b["at"], 1 - x["up"]).otherwise(x["up"]).alias("up"), x["words"].alias("words"))).alias("all"),
+                F.transform(held["all"], lambda x: F.struct(x["at"].alias("at"), F.when((x["at"] == b["at"]) | (x["at"] == b["back"]), 1 - x["up"]).otherwise(x["up"]).alias("up"), x["words"].alias("words"))).alias("all"),
             ).cast(kind)
             stopped = F.struct(held["off"].alias("off"), F.lit(True).alias("stop"), held["all"].alias("all")).cast(kind)
-            return F.when(b["left"] < F.abs(held["off"]), new).otherwise(stopped)
+            return F.when(b["left"] < F.abs(held["off"]) - 1e-6, new).otherwise(stopped)
 
         return F.when(c["stop"], c).otherwise(F.aggregate(F.array(best(c)), c, moved))
 
@@ -162,7 +190,7 @@ def mix(
     ``taken`` = size * copies, with copies at most ``ceil(max_repeat)``.
 
     A null or empty text has size 0, takes nothing and has 0 copies; a null source is a source of its own, the
-    last in turn. Ties and repeated rows are settled separately. An empty table
+    last in turn. Ties and repeated rows are settled separately, a repeated row's copies in leaves of their own. An empty table
     gives an empty table. Other columns are ignored, whatever their names.
     In a source's last leaf, documents are moved between their two possible numbers of copies, until no
     move makes up for more of what the one left open misses. Draws are hashes of the keys and sizes, so that a rerun gives the same mix.
@@ -170,13 +198,13 @@ def mix(
     size = word_count(F.col(text)) if size is None else size
     slim = materialize(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), size.alias("size")), "mix-sizes")
     targets = materialize(source_targets(slim, weights, max_repeat), "mix-targets")
-    rows = slim.alias("d").join(targets.alias("t"), F.expr("d.source <=> t.source")).select("d.id", "d.source", "d.size", "t.rank", "t.rows", "t.source_size", "t.target")
+    rows = _numbered(slim).alias("d").join(targets.alias("t"), F.expr("d.source <=> t.source")).select("d.id", "d.source", "d.size", "d.nth", "t.rank", "t.rows", "t.source_size", "t.target")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.when(F.col("size") > 0, F.floor(share)).otherwise(0)
     rows = rows.withColumn("whole", whole.cast("int")).withColumn("p", F.when(F.col("size") > 0, share - F.floor(share)).otherwise(0.0))
     out = ["id", "source", "size", "source_size", "target", "whole"]
     parts = [rows.filter("p = 0").select(*out, F.lit(0).alias("up"))]
-    open_ = rows.filter("p > 0").withColumn("tie", F.xxhash64(F.lit(seed), "id", "size")).withColumn("leaf", F.col("tie"))
+    open_ = rows.filter("p > 0").withColumn("tie", F.xxhash64(F.lit(seed), "id", "size", "nth")).withColumn("leaf", F.col("tie"))
     most = targets.agg(F.max("rows")).first()[0] or 0
     level = 0
     while True:
@@ -209,20 +237,18 @@ def mix(
     )
 
 
-def mixed_rows(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", broadcast_rows: int = 1_000_000, **options) -> DataFrame:
-    """The mix itself: each row of ``docs``, all its columns, as often as ``mix`` says.
+def mixed_rows(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """The mix itself: each row of ``docs``, all its columns whatever their names, as often as ``mix`` says.
 
-    Texts move only if more than ``broadcast_rows`` rows of some 40 bytes tell the copies. Rows are found again by key, source and text hash. Rows equal in these are
-    interchangeable, so their copies are added up and given to one of them.
+    Rows are found again by 128 bits of key, source and text; rows equal in these are interchangeable, so
+    that one of them stands for all, as often as their copies add up to. Every row moves once, and
+    of equal rows one per map task at most. Null and empty texts are in no mix; null keys and sources are like
+    any other; an empty table gives an empty table.
     """
-    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("k"), F.col(source).alias("s"), mark.alias("h"), word_count(F.col(text)).alias("w"))
-    slim = keyed.select(F.struct("k", "h").alias("k"), "s", "w")
-    copies = mix(slim, key="k", source="s", size=F.col("w"), **options).groupBy("k", "s").agg(F.sum("copies").alias("copies"), F.count("*").alias("same"))
-    copies = materialize(copies.filter("copies > 0"), "mix-copies").select("k.k", "k.h", "s", "copies", "same")
-    few = copies.count() <= broadcast_rows
-    found = keyed.alias("d").join((F.broadcast(copies) if few else copies).alias("c"), F.expr("d.k <=> c.k and d.h = c.h and d.s <=> c.s")).select("d.row", "d.k", "d.s", "d.h", "c.copies", "c.same")
-    single = found.filter("same = 1").select("row", "copies")
-    repeated = found.filter("same > 1").groupBy("k", "s", "h").agg(F.any_value("row").alias("row"), F.first("copies").alias("copies")).select("row", "copies")
-    times = single.union(repeated).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth"))
-    return times.select("row.*")
+    ids = [F.xxhash64(F.lit(seed), F.col(key).isNull(), F.col(key), F.col(source).isNull(), F.col(source), F.col(text)).alias(name) for seed, name in ((3, "i1"), (5, "i2"))]
+    slim = docs.select(F.struct(*ids).alias("k"), F.col(source).alias("s"), word_count(F.col(text)).alias("w"))
+    copies = mix(slim, key="k", source="s", size=F.col("w"), **options).filter("copies > 0").groupBy("k").agg(F.sum("copies").cast("int").alias("copies"))
+    copies = materialize(copies.select("k.i1", "k.i2", "copies"), "mix-copies")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *ids).groupBy("i1", "i2").agg(F.any_value("row").alias("row"))
+    found = rows.hint("merge").join(copies, ["i1", "i2"])
+    return found.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

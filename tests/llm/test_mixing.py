@@ -82,7 +82,7 @@ def test_rows(spark):
     d = docs(spark, rows)
     out = mixed_rows(d)
     assert out.columns == d.columns
-    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, mixed_rows(d, broadcast_rows=0).collect()))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, mixed_rows(d.repartition(5)).collect()))
     want = {r["source"]: r["target"] for r in mix(d).collect()}
     got = out.collect()
     for s, t in want.items():
@@ -111,3 +111,38 @@ def test_every_source_is_closed_in_a_full_leaf(spark):
 def test_one_huge_document_is_made_up_for(spark):
     rows = [(i, "w " * (40 + (i * 7919) % 320), f"s{i % 8}") for i in range(1600)] + [(2000 + i, "w " * (10_000 + 1300 * i), f"s{i}") for i in range(8)]
     assert max(off_target(mix(docs(spark, rows)).collect()).values()) < 0.01
+
+
+def test_hot_repeated_rows_are_dealt_out(spark):
+    # a third of all rows are one row; with a null key and source it is a row like any other
+    rows = [(i, "w " * (1 + i % 50), "abc"[i % 3]) for i in range(10_000)]
+    for hot in ((7, "w w w", "a"), (None, "w w w", None)):
+        out = mix(docs(spark, rows + [hot] * 5000), leaf_rows=64).collect()
+        assert len(out) == 15_000 and max(off_target(out).values()) < 0.01
+        copies = [r["copies"] for r in out if r["doc_id"] == hot[0] and r["size"] == 3 and r["source"] == hot[2]]
+        assert len(copies) >= 5000 and max(copies) - min(copies) <= 1
+        kept = mixed_rows(docs(spark, rows + [hot] * 5000), leaf_rows=64)
+        rate = next(r["target"] / r["source_size"] for r in out if r["source"] == hot[2])
+        n = kept.filter(F.col("doc_id").eqNullSafe(hot[0]) & (F.col("text") == "w w w")).count()
+        assert abs(n - 5000 * rate) < 500 and abs(sum(copies) - 5000 * rate) < 500
+
+
+def test_inclusion_is_nearly_unbiased(spark):
+    # 200 sources of equal documents are 200 draws; what a source's last leaf makes up for must not favour a size
+    words = [3 + (i * 37) % 180 for i in range(60)]
+    rows = [(s * 1000 + i, "w " * w, f"s{s:03d}") for s in range(200) for i, w in enumerate(words)]
+    out = mix(docs(spark, rows), weights=(1.0, 1.3)).collect()
+    for rate in sorted({round(r["target"] / r["source_size"], 6) for r in out}):
+        part = [r for r in out if round(r["target"] / r["source_size"], 6) == rate]
+        mean = {}
+        for r in part:
+            mean.setdefault(r["doc_id"] % 1000, []).append(r["copies"])
+        bias = [sum(c) / len(c) - rate for c in mean.values()]
+        assert len(part) == 100 * 60 and abs(sum(bias)) / 60 < 0.01
+        assert max(map(abs, bias)) < 4 * (0.25 / 100) ** 0.5
+
+
+def test_names_that_are_used_inside(spark):
+    d = spark.createDataFrame([(i, f"text {i}", "a", 1, 2, 3, 4) for i in range(20)], "doc_id long, text string, source string, row int, copies int, i1 int, k int")
+    out = mixed_rows(d)
+    assert out.columns == d.columns and set(map(tuple, out.collect())) <= set(map(tuple, d.collect()))
