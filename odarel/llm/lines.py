@@ -36,14 +36,29 @@ def boilerplate(lines: DataFrame, min_sites: int, sigmas: float = 4.0) -> DataFr
     return sure.union(exact.select("h1", "h2"))
 
 
-def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 5, min_chars: int = 16) -> DataFrame:
+def without(lines: Column, cut: Column) -> Column:
+    """``lines`` without those at the places in ``cut``: the pieces between two cuts, so each line is touched once."""
+
+    def pieces(x: Column) -> Column:
+        def piece(i: Column) -> Column:
+            low = F.when(i == 0, F.lit(0)).otherwise(F.get(x["cut"], i - 1) + 1)
+            high = F.coalesce(F.get(x["cut"], i), F.size(x["lines"]))
+            return F.slice(x["lines"], low + 1, high - low)
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(x["cut"])), piece))
+
+    # bound as a variable, so that neither is computed anew for each piece
+    return F.get(F.transform(F.array(F.struct(lines.alias("lines"), F.array_sort(cut).alias("cut"))), pieces), F.lit(0))
+
+
+def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 5, min_chars: int = 1) -> DataFrame:
     """``key``, ``n_lines``, ``n_removed`` and ``text`` without cross-site boilerplate, per row of ``docs``.
 
     A line is what lies between line feeds; it is compared without the spaces
-    around it, and only if at least ``min_chars`` characters are left. Every
+    around it, and only if at least ``min_chars`` characters are left, so that by default every line counts that isn't empty. Every
     occurrence of a line on ``min_sites`` sites or more goes. A null site counts as none. Null
     texts have no lines and stay null; an empty text has one empty line. Rows equal
-    in key and text get the same result. Other columns are ignored.
+    in key and text get the same result. An empty table gives an empty table. Other columns are ignored.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(site).cast("string").alias("site"), F.xxhash64("text").alias("mark"))
     parts = rows.select("key", "mark", "site", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
@@ -51,12 +66,12 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sit
     parts = materialize(parts, "lines-hashes")
     gone = materialize(boilerplate(parts.select("h1", "h2", "site"), min_sites), "lines-boilerplate")
     cuts = parts.join(gone, ["h1", "h2"]).groupBy("key", "mark").agg(F.collect_set("at").alias("cut"))
+    cuts = materialize(cuts, "lines-cuts")  # the join's sides are plain exchanges, of which Spark splits a hot row's
     found = rows.alias("d").join(cuts.alias("c"), F.expr("d.key <=> c.key and d.mark = c.mark"), "left").select("d.key", "d.text", "c.cut")
     lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.array_contains("cut", i))
     return found.select(
         F.col("key").alias(key),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.when(F.col("cut").isNull(), 0).otherwise(F.size("cut")).cast("long").alias("n_removed"),
-        F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(without(lines, F.col("cut")), "\n")).alias("text"),
     )

@@ -8,10 +8,11 @@ _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 
 LINES = """
 WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-b AS (SELECT trim(line, ' ') AS line FROM l WHERE length(trim(line, ' ')) >= 16 GROUP BY 1 HAVING count(DISTINCT source) >= 5)
-SELECT doc_id, count(*) AS n_lines, count(b.line) AS n_removed,
+b AS (SELECT trim(line, ' ') AS line FROM l WHERE length(trim(line, ' ')) >= 1 GROUP BY 1 HAVING count(DISTINCT source) >= 5),
+k AS (SELECT doc_id, count(*) AS n_lines, count(b.line) AS n_removed,
   coalesce(string_agg(l.line, chr(10) ORDER BY pos) FILTER (WHERE b.line IS NULL), '') AS text
-FROM l LEFT JOIN b ON trim(l.line, ' ') = b.line GROUP BY doc_id
+FROM l LEFT JOIN b ON trim(l.line, ' ') = b.line GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, k.text FROM documents d LEFT JOIN k USING (doc_id)
 """
 
 

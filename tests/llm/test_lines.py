@@ -10,7 +10,7 @@ def run(spark, rows, **options):
     return [tuple(r) for r in dedup_lines(df, **options).collect()]
 
 
-def brute(rows, min_sites=5, min_chars=16):
+def brute(rows, min_sites=5, min_chars=1):
     sites = defaultdict(set)
     for _, t, s in rows:
         for line in (t or "").split("\n"):
@@ -38,4 +38,19 @@ def test_odd_rows(spark):
     rows = [(i, f"{shared}\n  {shared}  \nshort\n", f"s{i}") for i in range(6)]
     rows += [(10, None, "a"), (11, "", "a"), (12, shared, None), (None, shared, "b"), (13, shared, "b"), (13, shared, "b"), (14, "\n".join(f"line number {n} of a long text" for n in range(20_000)), "c")]
     assert sorted(run(spark, rows), key=repr) == sorted(brute(rows), key=repr)
+    rows += [(20 + i, "no\n \n  no\n\nyes %d" % i, f"s{i}") for i in range(6)]
+    assert sorted(run(spark, rows), key=repr) == sorted(brute(rows), key=repr)
+    assert sorted(run(spark, rows, min_chars=16), key=repr) == sorted(brute(rows, min_chars=16), key=repr)
     assert run(spark, []) == []
+
+
+def test_many_cut_lines_take_linear_time(spark):
+    import time
+
+    shared = [f"shared line number {n}" for n in range(100_000)]
+    rows = [(i, "\n".join([*shared[:50_000], f"own {i}", *shared[50_000:]]), f"s{i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    start = time.perf_counter()
+    got = dedup_lines(df).collect()
+    assert [(r["n_lines"], r["n_removed"], r["text"]) for r in sorted(got)] == [(100_001, 100_000, f"own {i}") for i in range(5)]
+    assert time.perf_counter() - start < 30

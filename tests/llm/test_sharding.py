@@ -9,7 +9,9 @@ SCHEMA = "doc_id long, text string, shard string, slot int"
 
 def placed(spark, rows, **options):
     df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], SCHEMA)
-    return histogram_shards(df.select("doc_id", "text"), **options).collect()
+    out = histogram_shards(df, **options)
+    assert out.columns == ["doc_id", "text", "size", "shard", "slot"]
+    return out.collect()
 
 
 def check(rows, out, shards):
@@ -44,3 +46,13 @@ def test_odd_rows(spark):
     same = [(1, "a")] * 30
     check(same, placed(spark, same), 24)
     check([(1, "a")], placed(spark, [(1, "a")], shards=1), 1)
+
+
+@pytest.mark.parametrize("run_rows", [64, None])
+def test_equal_rows_are_dealt_out_evenly(spark, run_rows):
+    same = [(1, "a")] * 4800
+    sizes = check(same, placed(spark, same, run_rows=run_rows), 24)
+    assert max(sizes) - min(sizes) <= 9
+    hot = [(None, None)] * 2000 + [(i, f"text {i % 7}") for i in range(3000)] + [(5, "b")] * 1000
+    sizes = check(hot, placed(spark, hot, run_rows=run_rows), 24)
+    assert max(sizes) - min(sizes) <= 40
