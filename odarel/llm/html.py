@@ -54,19 +54,24 @@ GOOD_WORD = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|story|main|bo
 POST_WORD = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story)(?:$|[\s_-])", re.IGNORECASE)
 #: Class names that tell what a page has beside the element.
 WITH_WORD = re.compile(r"(?:^|\s)(?:with|has|no|without|is|layout)[-_]\S+", re.IGNORECASE)
-TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?<!/)>.*?(?:</(?P=raw)\s*[^>]*>|\Z)|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.IGNORECASE | re.DOTALL,
-)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: The rest of a tag: an angle bracket in quotes doesn't end it. Nothing is tried twice.
+REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+QUOTE_OR_END = re.compile("[>\"']")
+COMMENT_END = re.compile("--!?>")
+RAW_END = {tag: re.compile(rf"</{tag}\s*[^>]*>", re.IGNORECASE) for tag in RAW}
 ATTR = re.compile(r"(?:^|[\s/])(class|id|role|hidden|aria-hidden|itemprop|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+#: Blocks that are parts of a container.
+PARTS = frozenset("p li h1 h2 h3 h4 h5 h6 pre dt dd blockquote figcaption td th tr ul ol tbody table dl".split())
 KEPT_IN_HEADER = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("attrs", "children", "junk", "name", "parent", "tag")
+    __slots__ = ("attrs", "children", "junk", "name", "parent", "path_id", "post", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.path_id = self.post = None
         names = [re.sub(r"[\d>]+", "", x).strip("-_").lower() for x in attrs.get("class", "").split()]
         self.name = ".".join([tag.replace(">", ""), *sorted({x for x in names if x})])
         inside = parent is not None and parent.tag != "#"
@@ -82,16 +87,34 @@ class Node:
         return ">".join(reversed(names))
 
 
+def known_up(node: Node | None, slot: str) -> list[Node]:
+    """``node`` and what is above it, up to the first one that has ``slot`` set, topmost first."""
+    chain = []
+    while node is not None and getattr(node, slot) is None:
+        chain.append(node)
+        node = node.parent
+    return chain[::-1]
+
+
+def in_post(node: Node | None) -> bool:
+    """Whether a node or one above it is an article; each node is looked at once."""
+    for x in known_up(node, "post"):
+        x.post = x.parent is not None and x.parent.post or x.tag in ("article", "main") or bool(POST_WORD.search(f"{x.attrs.get('class', '')} {x.attrs.get('id', '')}"))
+    return node is not None and node.post
+
+
+def path_id(node: Node, ids: dict[tuple, int]) -> int:
+    """A number for the node's path, the same for equal paths of a page."""
+    for x in known_up(node, "path_id"):
+        x.path_id = ids.setdefault((x.parent and x.parent.path_id, x.name), len(ids))
+    return node.path_id
+
+
 def is_junk(tag: str, attrs: dict[str, str], parent: Node | None) -> bool:
     if tag in ("html", "body", "article", "main"):
         return "comment" in attrs.get("class", "").lower() and tag == "article"
     if tag == "header":
-        up = parent
-        while up is not None:
-            if up.tag in ("article", "main") or POST_WORD.search(f"{up.attrs.get('class', '')} {up.attrs.get('id', '')}"):
-                return False
-            up = up.parent
-        return True
+        return not in_post(parent)
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.IGNORECASE):
         return True
     if attrs.get("role", "").lower() in ("article", "main"):
@@ -120,6 +143,60 @@ def free_article(root: Node) -> None:
                 x.junk = False
 
 
+def tags(html: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
+    """Begin, end, whether it closes, name in lower case and attributes of each tag; no name for what isn't an element.
+
+    Comments, declarations and elements that hold no text are one tag each, up to their end or that of the page. A
+    tag whose quotes never close ends at the next angle bracket. Every part of the page is looked at a bounded number of
+    times: what was seen to lead to an unclosed quote is remembered.
+    """
+    last = html.rfind(">")
+    last_quote = {c: html.rfind(c) for c in "\"'"}
+    doomed: set[int] | None = None  # places outside quotes from which a quote is reached that never closes
+
+    def tag_end(at: int) -> int:
+        nonlocal doomed
+        if doomed is None:
+            if m := REST.match(html, at):
+                return m.end()
+            doomed = set()
+        place, seen = at, []
+        while place not in doomed:
+            seen.append(place)
+            m = QUOTE_OR_END.search(html, place)
+            if m is None or m[0] != ">" and m.start() == last_quote[m[0]]:
+                break
+            if m[0] == ">":
+                return m.end()
+            place = html.find(m[0], m.end()) + 1
+        doomed.update(seen)
+        return html.find(">", at) + 1
+
+    at = html.find("<")
+    while 0 <= at <= last:
+        follows = html[at + 1 : at + 2]
+        close = follows == "/"
+        name = NAME.match(html, at + 1 + close)
+        if html.startswith("<!--", at):
+            m = COMMENT_END.search(html, at + 4)
+            end = m.end() if m else len(html)
+            yield at, end, False, None, ""
+        elif name:
+            end = tag_end(name.end())
+            tag, attrs = name[0].lower(), html[name.end() : end - 1]
+            if not close and tag in RAW_END and not attrs.endswith("/"):
+                m = RAW_END[tag].search(html, end, last + 1)
+                end = m.end() if m else len(html)
+                tag = None
+            yield at, end, close, tag, attrs
+        elif follows and follows in "!?/":
+            end = html.find(">", at) + 1
+            yield at, end, False, None, ""
+        else:
+            end = at + 1
+        at = html.find("<", end)
+
+
 def parse(html: str) -> Node:
     """The tree; texts are strings among the children, character references decoded."""
     root = node = Node("#", {}, None)
@@ -139,14 +216,12 @@ def parse(html: str) -> Node:
         if part:
             node.children.append(unescape(part))
 
-    for m in TOKEN.finditer(html):
-        text(html[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
+    for start, end, close, tag, raw in tags(html):
+        text(html[at:start])
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
-        if m["close"]:
+        if close:
             if open_[tag] > 0:
                 up = node
                 while up.tag != tag:
@@ -163,7 +238,6 @@ def parse(html: str) -> Node:
                 up = up.parent
             if up is not root and up.tag == closed:
                 node = closed_to(up)
-        raw = m["attrs"]
         attrs = {a[1].lower(): unescape(a[2] or a[3] or a[4] or "") for a in ATTR.finditer(raw)} if raw.strip(" /") else {}
         child = Node(tag, attrs, node)
         node.children.append(child)
@@ -221,22 +295,22 @@ def scored(root: Node) -> list[tuple[float, Node]]:
     """
     score: dict[Node, float] = {}
     order: list[Node] = []
-    stack: list[tuple[Node, bool]] = [(root, False)]
+    stack: list[tuple[Node, bool, Node]] = [(root, False, root)]
     while stack:
-        node, linked = stack.pop()
+        node, linked, box = stack.pop()
         if node.junk:
             continue
         order.append(node)
+        if node.tag in BLOCK and node.tag not in PARTS:
+            box = node
         size = 0
         for child in reversed(node.children):
             if isinstance(child, str):
                 size += len(child.strip())
             else:
-                stack.append((child, linked or child.tag == "a"))
+                stack.append((child, linked or child.tag == "a", box))
         if size:
-            up = node
-            while up.parent is not None and (up.tag not in BLOCK or up.tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "dt", "dd", "blockquote", "figcaption", "td", "th", "tr", "ul", "ol", "tbody", "table", "dl")):
-                up = up.parent
+            up = box
             gain = -size if linked else size
             while up is not None and abs(gain) >= 1e-3:
                 score[up] = score.get(up, 0.0) + gain
@@ -253,30 +327,48 @@ def scored(root: Node) -> list[tuple[float, Node]]:
 
 def votes(html: str, most: int = 3) -> list[tuple[str, float]]:
     """A page's best container paths, each with its share of the best score."""
-    out: dict[str, float] = {}
+    out: dict[int, tuple[str, float]] = {}
+    ids: dict[tuple, int] = {}
     ranked = scored(parse(html))
     for s, node in ranked:
-        out.setdefault(node.path, s / ranked[0][0])
-        if len(out) == most:
-            break
-    return list(out.items())
+        number = path_id(node, ids)
+        if number not in out:
+            out[number] = (node.path, s / ranked[0][0])
+            if len(out) == most:
+                break
+    return list(out.values())
+
+
+def at_path(root: Node, path: str) -> list[Node]:
+    """The nodes on a path that aren't junk, in page order."""
+    names, out = path.split(">"), []
+    stack = [(root, 0)]
+    while stack:
+        node, depth = stack.pop()
+        if node.junk or node.name != names[depth]:
+            continue
+        if depth + 1 == len(names):
+            out.append(node)
+        else:
+            stack.extend((x, depth + 1) for x in reversed(node.children) if not isinstance(x, str))
+    return out
+
 
+def extract(html: str, path: str | None, others: list[str] | None = None, better: float = 5.0) -> str:
+    """Blocks under ``path``, or under the page's own best container, joined by an empty line.
 
-def extract(html: str, path: str | None) -> str:
-    """Blocks under ``path``, or under the page's own best container, joined by an empty line."""
+    ``others`` are paths that the host's pages voted for, too. One that neither holds ``path`` nor lies in it is another
+    template's: it is taken where it scores ``better`` times as much on this page.
+    """
     root = parse(html)
-    tops: list[Node] = []
-    if path:
-        names = path.split(">")
-        stack = [(root, 0)]
-        while stack:
-            node, depth = stack.pop()
-            if node.junk or node.name != names[depth]:
-                continue
-            if depth + 1 == len(names):
-                tops.append(node)
-            else:
-                stack.extend((x, depth + 1) for x in reversed(node.children) if not isinstance(x, str))
+    tops = at_path(root, path) if path else []
+    if path and (apart := [x for x in others or () if not f"{x}>".startswith(f"{path}>") and not f"{path}>".startswith(f"{x}>")]):
+        score = {node: s for s, node in scored(root)}
+        own = sum(score.get(x, 0.0) for x in tops)
+        for other in apart:
+            nodes = at_path(root, other)
+            if (s := sum(score.get(x, 0.0) for x in nodes)) > better * max(own, 1e-9):
+                tops, own, better = nodes, s, 1.0
     lines = [x for top in tops for x in blocks(top)]
     if not lines:
         ranked = scored(root)
@@ -294,7 +386,8 @@ def extract_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", h
     """``key``, ``url``, ``text``, ``n_chars`` (code points) and ``path`` (the host's winner) per page.
 
     A host's path needs votes of ``min_pages`` pages; the votes add up, and of
-    equal ones the shorter path wins, then the lesser in code point order. Pages
+    equal ones the shorter path wins, then the lesser in code point order. Paths that are the best of
+    ``min_pages`` pages and of a hundredth of the host's, so a hundred or so at most, are kept beside the winner, for hosts of several templates. Pages
     with a null or odd URL have no host and use their own best container. Null and
     empty html give an empty text; repeated rows vote and are extracted
     each; an empty table gives an empty table. Other columns are ignored.
@@ -312,14 +405,20 @@ def extract_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", h
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(page.as_py() or "", path) for page, path in zip(batch.column(2), batch.column(3).to_pylist(), strict=True)]
+            paths = zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
+            texts = [extract(page.as_py() or "", path, others) for page, path, others in paths]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), batch.column(3)], names=["key", "url", "text", "path"])
 
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
     cast = rows.filter("host is not null").select("host", "html").mapInArrow(vote, "host string, path string, share double")
-    total = cast.groupBy("host", "path").agg(F.sum("share").alias("share"), F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    best = total.groupBy("host").agg(F.min(F.struct((-F.round("share", 6)).alias("s"), F.length("path").alias("l"), "path"))["path"].alias("path"))
+    total = cast.groupBy("host", "path").agg(F.sum("share").alias("share"), F.count("*").alias("n"), F.sum((F.col("share") >= 1.0).cast("long")).alias("best"))
+    total = materialize(total, "html-votes")
+    pages_of = total.groupBy("host").agg(F.sum("best").alias("pages"))
+    voted = total.filter(F.col("n") >= min_pages).join(pages_of, "host")
+    rank = F.struct((-F.round("share", 6)).alias("s"), F.length("path").alias("l"), "path")
+    often = F.when((F.col("best") >= min_pages) & (F.col("best") * 100 >= F.col("pages")), rank)
+    best = voted.groupBy("host").agg(F.min(rank)["path"].alias("path"), F.transform(F.sort_array(F.collect_list(often)), lambda x: x["path"]).alias("others"))
     best = materialize(best, "html-paths")
     kind = pages.schema[key].dataType.simpleString()
-    found = rows.join(best, "host", "left").select("key", "url", "html", "path").mapInArrow(read, f"key {kind}, url string, text string, path string")
+    found = rows.join(best, "host", "left").select("key", "url", "html", "path", "others").mapInArrow(read, f"key {kind}, url string, text string, path string")
     return found.select(F.col("key").alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"), "path")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from odarel.llm import decontaminate, embeddings, html, jaccard, lines, mixing, quality, secrets, sharding, tokens
 from odarel.llm.oracle import ORACLE
+from odarel.llm.shared import shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +39,10 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    ledger = secrets.Ledger(spark, shared_path(spark, "secrets"))  # a new one: this history is scanned for the first time
+    ledger.extend(docs)
+    found = secrets.findings(docs, ledger.read())
     listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     def n_of(kind: str):

@@ -8,11 +8,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str, str | None]] = []
-_owner: str | None = None
+_owner: ContextVar[str | None] = ContextVar("owner", default=None)  # each thread has its own
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -32,6 +33,13 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path under the shared root, for what ``release`` may delete."""
+    path = f"{shared_root(spark)}/odarel/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path, _owner.get()))
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet under the shared root and read it back.
 
@@ -39,21 +47,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     later reads prune columns. A lost executor loses nothing that is written.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/odarel/{label}-{uuid.uuid4().hex}"
+    path = shared_path(spark, label)
     df.write.parquet(path)
-    _written.append((spark, path, _owner))
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def owned_by(name: str) -> Iterator[None]:
     """Mark the tables written inside, so that ``release`` can find them."""
-    global _owner
-    before, _owner = _owner, name
+    before = _owner.set(name)
     try:
         yield
     finally:
-        _owner = before
+        _owner.reset(before)
 
 
 def release(spark: SparkSession, owner: str | None = None) -> None:

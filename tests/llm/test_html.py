@@ -65,3 +65,40 @@ def test_deep_nesting():
     assert blocks(parse("<div>" * 3000 + "<p>deep</p>")) == ["deep"]
     page = "<div class='a'>" * 100_000 + "<p>deep</p>" + "</b>" * 100_000 + "<i>x</i>" * 20_000
     assert extract(page, votes(page)[0][0]) == "deep\n\n" + "x" * 20_000
+
+
+def test_several_templates(spark):
+    # the winner is a path without a class, of which pages of the other template have a little, too
+    wide = "<html><body><div><p>{0}</p><p>{0} again</p></div></body></html>"
+    other = "<html><body><div><p>hint</p></div><section class='s'><div class='story'><p>{0}</p><p>{0} again</p></div></section></body></html>"
+    rows = [(i, "http://a.example/", (other if i % 10 == 0 else wide).format(f"Story {i} " * 40)) for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{('Story %d ' % i * 40).strip()}\n\n{'Story %d ' % i * 40}again" for i in range(30)}
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<script " * 130_000,
+        "<script>" * 130_000,
+        "<a href=\"x>" * 90_001,
+        "<a \">\" " * 150_001 + "'",
+        "<!-- " * 200_000,
+        "</script" * 120_000 + ">",
+        "<header>" * 120_000,
+        "<b>x" * 250_000,
+        "<div class='a'>x" * 60_000,
+    ],
+)
+def test_odd_megabytes_take_linear_time(html):
+    import time
+
+    start = time.perf_counter()
+    extract(html, votes(html)[0][0] if votes(html) else None)
+    assert time.perf_counter() - start < 30
+
+
+def test_quotes_and_brackets():
+    assert extract("<p title='a>b'>one</p><p title=\"x>y\">two", None) == "one\n\ntwo"
+    assert extract("<p>one<p title=\">two <b>three</b>", None) == "one\n\ntwo three"
+    assert extract("<p>1 < 2 and 3 > 2</p><? php ?></ ><!doctype x>end", None) == "1 < 2 and 3 > 2\n\nend"

@@ -1,6 +1,6 @@
 import random
 
-from odarel.llm.secrets import find_secrets
+from odarel.llm.secrets import RULES, Ledger, Rule, find_secrets, findings
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, blob string, spans int"
@@ -40,3 +40,31 @@ def test_odd_rows(spark):
     found, _ = run(spark, rows)
     assert sorted(listed(r) for r in found.collect()) == ["", "", "assign:0:14", "assign:300001:300015"]
     assert run(spark, [])[0].count() == 0
+
+
+def test_stored_ledger_scans_only_new_pairs_of_blob_and_rule(spark, tmp_path):
+    rows = [(1, "token=abcdefgh"), (2, "token=abcdefgh " + "a" * 30), (3, "nothing"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    ledger.extend(df)
+    assert ledger.read().count() == 4 and all(len(r["scanned"]) == 3 for r in ledger.read().collect())
+    again = Ledger(spark, str(tmp_path / "ledger"))  # as another session would open it
+    again.extend(df)
+    assert again.read().count() == 4
+    changed = (*RULES[:2], Rule("hex", "[0-9a-f]{32,}"))
+    again.extend(df, rules=changed)  # one rule differs: it alone is scanned anew
+    assert again.read().count() == 8 and sorted(len(r["scanned"]) for r in again.read().collect()) == [1] * 4 + [3] * 4
+    assert {r["doc_id"]: listed(r) for r in findings(df, again.read(), rules=changed).collect()} == {1: "assign:0:14", 2: "assign:0:14", 3: "", 4: ""}
+    assert {r["doc_id"]: listed(r) for r in findings(df, again.read()).collect()}[2] == "assign:0:14,hex:15:45"
+    again.extend(spark.createDataFrame([(9, "new token=abcdefgh")], "doc_id long, text string"))
+    assert again.read().count() == 9
+
+
+def test_many_matches_take_linear_time(spark):
+    import time
+
+    text = "é token=abcdef " * 100_000
+    start = time.perf_counter()
+    (found,) = run(spark, [(1, text)])[0].collect()
+    assert time.perf_counter() - start < 60
+    assert [(s["start"], s["end"]) for s in found["spans"]] == [(2 + 15 * i, 14 + 15 * i) for i in range(100_000)]
