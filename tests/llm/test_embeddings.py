@@ -66,3 +66,32 @@ def test_shared_direction_loses_no_link(spark):
     got = {r["vec_id"]: r for r in near_vectors(df, window=8).collect()}
     assert [got[i]["n_links"] for i in range(len(x))] == s.sum(axis=1).tolist()
     assert [got[i]["component_id"] for i in range(len(x))] == [roots[i] for i in range(len(x))]
+
+
+def test_recall_over_many_partitions_and_huge_components(spark):
+    # pairs just above the threshold among vectors with a common mean, over 40 partitions
+    rng = np.random.default_rng(8)
+    dim, pairs = 64, 1200
+    lean = rng.standard_normal(dim)
+    x = lean + 1.2 * rng.standard_normal((pairs, dim))
+    off = rng.standard_normal((pairs, dim))
+    off -= (off * x).sum(1, keepdims=True) / (x * x).sum(1, keepdims=True) * x
+    y = 0.935 * x + np.sqrt(1 - 0.935**2) * off * np.linalg.norm(x, axis=1, keepdims=True) / np.linalg.norm(off, axis=1, keepdims=True)
+    z = np.vstack([x, y, lean + 1.2 * rng.standard_normal((1000, dim))])
+    n = np.linalg.norm(z, axis=1)
+    s = (z @ z.T) / np.outer(n, n) >= 0.93
+    np.fill_diagonal(s, False)
+    z[::3] *= 1e200  # lengths don't matter, not even those whose squares are out of range
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(z)], "vec_id long, embedding array<double>, label int")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = {r["vec_id"]: r["n_links"] for r in near_vectors(df, window=16).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(got.values()) >= 0.9995 * s.sum() >= 2 * pairs and all(got[i] <= s[i].sum() for i in got)
+
+
+def test_a_key_with_several_vectors(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [0.0, 2.0], 1), (3, [5.0, 0.1], 1)]
+    got = sorted(tuple(r) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
