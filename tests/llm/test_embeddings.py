@@ -88,7 +88,7 @@ def test_recall_over_many_partitions_and_huge_components(spark):
         got = {r["vec_id"]: r["n_links"] for r in near_vectors(df, window=16).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert sum(got.values()) >= 0.9995 * s.sum() >= 2 * pairs and all(got[i] <= s[i].sum() for i in got)
+    assert s.sum() >= 2 * pairs and sum(got.values()) >= 0.9995 * s.sum() and all(got[i] <= s[i].sum() for i in got)
 
 
 def test_a_key_with_several_vectors(spark):
