@@ -54,11 +54,23 @@ class EntitySet:
         return self
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What a request may ask for. Of more searchable fields than ``search_fields`` the first are searched; None searches all."""
+
+    search_fields: int | None = 5
+    search_terms: int = 5
+    expand_depth: int = 5
+    path_depth: int = 5
+    joins: int = 8
+    cascade: int = 5000
+
+
 class Catalog:
     """Sets by name, whatever the case; tables are loaded once per session."""
 
     def __init__(self, spark: SparkSession, sets: list[EntitySet]):
-        self.spark = spark
+        self.spark, self.limits = spark, Limits()
         self._sets = {s.name.lower(): s for s in sets}
         self._frames: dict[str, DataFrame] = {}
 

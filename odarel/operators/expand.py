@@ -10,9 +10,9 @@ from odarel.catalog import Catalog, EntitySet
 from odarel.errors import ODataError
 from odarel.operators.ordering import sort_columns
 from odarel.operators.scope import EntityScope, linked, quoted
+from odarel.operators.search import search
 from odarel.plans.ast import Expand, Options
 
-MAX_EXPAND_DEPTH = 5
 LINK = "__link"
 
 
@@ -32,10 +32,13 @@ def _tree(items: list[Expand]) -> list[Expand]:
     return list(out.values())
 
 
-def expand(catalog: Catalog, entity: EntitySet, df: DataFrame, items: list[Expand], depth: int = 1) -> DataFrame:
-    """``df`` with a column per relation: an array (maybe empty) of structs, or a struct or null."""
-    if depth > MAX_EXPAND_DEPTH:
-        raise ODataError(f"$expand nests {MAX_EXPAND_DEPTH} deep at most")
+def expand(catalog: Catalog, entity: EntitySet, df: DataFrame, items: list[Expand], depth: int = 1, *, few: bool = False, search_mode: str = "annotated") -> DataFrame:
+    """``df`` with a column per relation: an array (maybe empty) of structs, or a struct or null.
+
+    Where ``df`` is a page and so ``few`` rows, only the rows that it leads to are ranked and grouped.
+    """
+    if depth > (most := catalog.limits.expand_depth):
+        raise ODataError(f"$expand nests {most} deep at most")
     for item in _tree(items):
         name = item.path[0]
         if name not in entity.relations:
@@ -43,6 +46,11 @@ def expand(catalog: Catalog, entity: EntitySet, df: DataFrame, items: list[Expan
         relation, options = entity.relations[name], item.options
         target = catalog.get(relation.target)
         scope = EntityScope(catalog, target, linked(catalog, relation, "", LINK))
+        if few:
+            wanted = df.select(quoted(relation.source_key).alias("__wanted")).distinct()
+            scope.df = scope.df.join(wanted, quoted(LINK) == quoted("__wanted"), "left_semi")
+        if options.search is not None:
+            scope.df_filter(search(scope, options.search, search_mode))
         if options.filter is not None:
             scope.filter(options.filter)
         for tree, alias in options.compute:
@@ -59,10 +67,10 @@ def expand(catalog: Catalog, entity: EntitySet, df: DataFrame, items: list[Expan
                 rows = rows.filter(F.col("__nth") <= low + options.top)
         nested = list(options.expand)
         if options.levels > 1 and name in target.relations and target.relations[name].target == relation.target:
-            deeper = Options(select=options.select, filter=options.filter, orderby=options.orderby, top=options.top, skip=options.skip, levels=options.levels - 1)
+            deeper = Options(select=options.select, filter=options.filter, search=options.search, orderby=options.orderby, top=options.top, skip=options.skip, levels=options.levels - 1)
             nested.append(Expand((name,), deeper))
         if nested:
-            rows = expand(catalog, target, rows, nested, depth + 1)
+            rows = expand(catalog, target, rows, nested, depth + 1, few=few, search_mode=search_mode)
         shown = chosen(target, catalog.frame(target.name).columns, options) + [n.path[0] for n in _tree(nested)]
         body = F.struct(*[quoted(c).alias(c) for c in dict.fromkeys(shown)])
         key = f"__own {name}"

@@ -24,6 +24,7 @@ class Planned:
     orders: list[Order]
     options: Options
     pipeline: Pipeline | None = None
+    search_mode: str = "annotated"
 
     def sorted(self) -> list:
         return sort_columns(self.scope, self.orders)
@@ -46,7 +47,7 @@ class Planned:
         scope: EntityScope = self.scope
         entity, o = scope.entity, self.options
         if o.expand:
-            df = expand(scope.catalog, entity, df, o.expand)
+            df = expand(scope.catalog, entity, df, o.expand, few=o.top is not None, search_mode=self.search_mode)
         names = chosen(entity, scope.names(), o)
         expanded = list(dict.fromkeys(x.path[0] for x in o.expand))
         return df.select(*[quoted(c) for c in dict.fromkeys([*names, *expanded])])
@@ -81,7 +82,7 @@ def plan(catalog: Catalog, name: str, options: Options, *, search_mode: str = "a
         scope.types[alias] = kind if kind is not None else scope.df.schema[alias].dataType
     keys = [Order(Path((k,))) for k in entity.keys]
     named = [o.expr for o in options.orderby]
-    return Planned(scope, options.orderby + [k for k in keys if k.expr not in named], options)
+    return Planned(scope, options.orderby + [k for k in keys if k.expr not in named], options, search_mode=search_mode)
 
 
 def query(catalog: Catalog, name: str, options: Options, **more) -> DataFrame:

@@ -18,8 +18,6 @@ from odarel.errors import ODataError
 from odarel.functions.scalar import Compiler
 from odarel.plans.ast import Lambda, Logic, Path
 
-MAX_DEPTH, MAX_JOINS = 5, 8
-
 
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
@@ -93,10 +91,11 @@ class EntityScope:
     def _join(self, path: tuple[str, ...]) -> EntitySet:
         if path in self.joined:
             return self.joined[path]
-        if len(path) > MAX_DEPTH:
-            raise ODataError(f"paths are {MAX_DEPTH} relations long at most")
-        if len(self.joined) >= MAX_JOINS:
-            raise ODataError(f"a query joins {MAX_JOINS} relations at most", code="pushdown-join-count-exceeded")
+        limits = self.catalog.limits
+        if len(path) > limits.path_depth:
+            raise ODataError(f"paths are {limits.path_depth} relations long at most")
+        if len(self.joined) >= limits.joins:
+            raise ODataError(f"a query joins {limits.joins} relations at most", code="pushdown-join-count-exceeded")
         source = self._join(path[:-1]) if len(path) > 1 else self.entity
         relation = source.relations[path[-1]]
         if (relation.kind != "one" or relation.through) and not self.fan_out:

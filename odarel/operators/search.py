@@ -12,8 +12,6 @@ from odarel.errors import ODataError
 from odarel.operators.scope import EntityScope, quoted
 from odarel.plans.ast import Logic, Not, Term
 
-MAX_TERMS, MAX_FIELDS = 5, 5
-
 
 def search_fields(scope: EntityScope, mode: str = "annotated") -> list[str]:
     fields = list(scope.entity.searchable)
@@ -21,7 +19,7 @@ def search_fields(scope: EntityScope, mode: str = "annotated") -> list[str]:
         fields = [c for c in scope.names() if isinstance(scope.types[scope.prefix + c], T.StringType)]
     if not fields:
         raise ODataError(f"{scope.entity.name} has no searchable fields")
-    return fields[:MAX_FIELDS]
+    return fields[: scope.catalog.limits.search_fields]
 
 
 def terms(tree) -> int:
@@ -32,8 +30,8 @@ def terms(tree) -> int:
 
 def search(scope: EntityScope, tree, mode: str = "annotated") -> Column:
     """A term is true if any field has it; a null field has nothing."""
-    if terms(tree) > MAX_TERMS:
-        raise ODataError(f"$search takes {MAX_TERMS} terms at most")
+    if terms(tree) > (most := scope.catalog.limits.search_terms):
+        raise ODataError(f"$search takes {most} terms at most")
     fields = search_fields(scope, mode)
 
     def build(node) -> Column:

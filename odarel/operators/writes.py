@@ -15,7 +15,7 @@ from odarel.catalog import Catalog, Relation
 from odarel.errors import ODataError
 from odarel.operators.scope import quoted
 
-MAX_DEPTH, MAX_CASCADE = 10, 5000
+MAX_DEPTH = 10
 
 
 def at_key(keys: tuple[str, ...], values: tuple) -> Column:
@@ -171,7 +171,7 @@ def unlink(catalog: Catalog, name: str, key: tuple, relation_name: str, target_k
     return {target.name: patch(catalog.frame(target.name), target.keys, target_key, {relation.target_key: None})}
 
 
-def cascade(catalog: Catalog, name: str, doomed: DataFrame, owned: dict[str, tuple[str, ...]], depth: int = 1, *, changed: dict[str, DataFrame] | None = None, most: int = MAX_CASCADE) -> dict[str, DataFrame]:
+def cascade(catalog: Catalog, name: str, doomed: DataFrame, owned: dict[str, tuple[str, ...]], depth: int = 1, *, changed: dict[str, DataFrame] | None = None, most: int | None = None) -> dict[str, DataFrame]:
     """Tables after deleting ``doomed`` rows of a set with what they own.
 
     ``owned`` names the containing relations per set. A restricting relation
@@ -180,7 +180,7 @@ def cascade(catalog: Catalog, name: str, doomed: DataFrame, owned: dict[str, tup
     """
     if depth > 8:
         raise ODataError("a composition nests 8 deep at most", 422)
-    changed = {} if changed is None else changed
+    changed, most = {} if changed is None else changed, catalog.limits.cascade if most is None else most
     entity = catalog.get(name)
     if doomed.limit(most + 1).count() > most:
         raise ODataError(f"a delete takes {most} entities at most", 422)

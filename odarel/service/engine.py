@@ -11,7 +11,7 @@ from urllib.parse import parse_qsl, quote, unquote, urlencode
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odarel.catalog import Catalog, EntitySet
+from odarel.catalog import Catalog, EntitySet, Limits
 from odarel.errors import ODataError
 from odarel.functions.scalar import literal
 from odarel.operators import query as collection
@@ -25,7 +25,7 @@ from odarel.plans.parser import Parser, parse_options
 from odarel.service import etag as tags
 from odarel.service import tokens
 from odarel.service.registry import Registry
-from odarel.sources import envelope, metadata
+from odarel.sources import envelope, metadata, snapshots
 
 
 @dataclass
@@ -43,6 +43,7 @@ class Config:
     skip_ttl: int = tokens.SKIP_TTL
     delta_ttl: int = tokens.DELTA_TTL
     owned: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    limits: Limits = field(default_factory=Limits)
 
 
 #: An address: set, key, and what follows.
@@ -53,6 +54,7 @@ class Engine:
     def __init__(self, catalog: Catalog, config: Config, registry: Registry | None = None):
         self.catalog, self.config, self.registry = catalog, config, registry or Registry()
         self.spark = catalog.spark
+        catalog.limits = config.limits
         self.singletons: dict[str, tuple[str, Callable[[], tuple] | tuple]] = {}
 
     # DataFrames
@@ -250,12 +252,13 @@ class Engine:
         df = df.limit(room + 1)
         whole = df.select("*", *marks) if marks else df
         if planned.pipeline is None and o.expand:
-            found = whole.limit(room)
-            shown = self._shown_marked(planned, found, len(marks), by)
+            page_rows = whole.collect()  # a page; its rows are then expanded, so that its plan runs once
+            more = len(page_rows) > room and (top is None or top - taken_before > room)
+            found = self.spark.createDataFrame([tuple(r) for r in page_rows[:room]], whole.schema)
+            shown = self._shown_marked(planned, found, len(marks))
             got = shown.collect()
-            more = top is None and whole.count() > room or top is not None and top - taken_before > room and whole.count() > room
         else:
-            shown = self._shown_marked(planned, whole, len(marks), [])
+            shown = self._shown_marked(planned, whole, len(marks))
             got = shown.collect()
             more = len(got) > room and (top is None or top - taken_before > room)
             got = got[:room]
@@ -277,7 +280,7 @@ class Engine:
         self.registry.run("after", "READ", entity.name, {"set": entity.name, "result": out, "engine": self})
         return out
 
-    def _shown_marked(self, planned: collection.Planned, df: DataFrame, marks: int, by: list) -> DataFrame:
+    def _shown_marked(self, planned: collection.Planned, df: DataFrame, marks: int) -> DataFrame:
         """What the client sees, with the order's values beside it."""
         if planned.pipeline is not None:
             return df.drop("__branch")
@@ -289,7 +292,7 @@ class Engine:
             extra.append("__marketag")
         if o.expand:
             keep = [*dict.fromkeys([*scope.names(), *[a for _, a in o.compute]])]
-            df = collection.expand(self.catalog, scope.entity, df.select(*[quoted(c) for c in keep], *extra), o.expand)
+            df = collection.expand(self.catalog, scope.entity, df.select(*[quoted(c) for c in keep], *extra), o.expand, few=True, search_mode=self.config.search_mode)
             names += [x for x in dict.fromkeys(e.path[0] for e in o.expand)]
             order = [F.col(f"__mark{i}").desc_nulls_first() if x.desc else F.col(f"__mark{i}").asc_nulls_last() for i, x in enumerate(planned.orders)]
             df = df.orderBy(*order)
@@ -304,15 +307,19 @@ class Engine:
     # change feeds
 
     def _delta_link(self, entity: EntitySet, planned: collection.Planned, path: str, options: dict[str, str]) -> str | None:
-        """A link with the greatest delta value; small results also carry keys or buckets, to tell what goes."""
+        """A link with the greatest delta value and the keys or groups there are, to tell what goes.
+
+        Up to a page of them are in the token; more are written, and the token names them.
+        """
         o = planned.options
         payload: dict = {"entitySet": entity.name, "options": {k: v for k, v in options.items() if k not in ("$skiptoken", "$top", "$skip", "$count")}}
         most = self.config.page_size
         if planned.pipeline is not None:
             rows = envelope.rows(planned.scope.df.limit(most + 1))
             if len(rows) > most:
-                return None
-            payload["buckets"] = rows
+                payload["groups"] = snapshots.save(planned.scope.df)
+            else:
+                payload["buckets"] = rows
         else:
             if entity.delta is None:
                 return None
@@ -320,8 +327,11 @@ class Engine:
             mark = planned.scope.df.agg(F.max(F.struct(*[quoted(p) for p in parts])).alias("m")).first()["m"]
             if mark is not None:
                 payload["lastValue"], payload["keyValues"] = envelope.plain(mark[0]), [envelope.plain(v) for v in mark[1:]]
-            keys = planned.scope.df.select(*[quoted(k) for k in entity.keys]).limit(most + 1).collect()
-            if len(keys) <= most:
+            all_keys = planned.scope.df.select(*[quoted(k) for k in entity.keys])
+            keys = all_keys.limit(most + 1).collect()
+            if len(keys) > most:
+                payload["keys"] = snapshots.save(all_keys)
+            else:
                 payload["pageKeys"] = [[envelope.plain(v) for v in r] for r in keys]
         token = tokens.sign(payload, self.config.secret)
         return f"{self.config.base}/{path}?{urlencode({'$deltatoken': token}, quote_via=quote)}"
@@ -337,24 +347,25 @@ class Engine:
         planned, _ = self._planned(entity.name, again)
         out: dict = {"@odata.context": f"{self.config.base}/$metadata#{entity.name}/$delta"}
         link = payload["link"] if "after" in payload else self._delta_link(entity, planned, path, payload["options"])
-        if "buckets" in payload:
+        if "buckets" in payload or "groups" in payload:
             now = planned.scope.df
             schema = now.schema
-            before = self.spark.createDataFrame([], schema)
-            if payload["buckets"]:
+            before = snapshots.load(self.spark, payload["groups"], now) if "groups" in payload else self.spark.createDataFrame([], schema)
+            if payload.get("buckets"):
                 texts = self.spark.createDataFrame([(json.dumps(b),) for b in payload["buckets"]], "j string")
                 before = texts.select(F.from_json("j", schema).alias("b")).select("b.*")
             group = [s for s in again.apply if hasattr(s, "keys")][-1]
             changes = bucket_changes(before, now, [k.name for k in group.keys]) if group.keys else now.withColumn("@removed", F.lit(None).cast("string"))
             value = [{k: v for k, v in r.items() if k != "@removed" or v} for r in envelope.rows(changes)]
         else:
-            gone: list[dict] = []
-            if "pageKeys" in payload:
+            before, now = None, planned.scope.df  # all there is, whatever has changed
+            if "keys" in payload:
+                before = snapshots.load(self.spark, payload["keys"], now.select(*[quoted(k) for k in entity.keys]))
+            elif "pageKeys" in payload:
                 kinds = {f.name: f.dataType for f in planned.scope.df.schema.fields}
                 schema = ", ".join(f"`{k}` string" for k in entity.keys)
                 rows = [tuple(None if v is None else str(v) for v in r) for r in payload["pageKeys"]]
                 before = self.spark.createDataFrame(rows, schema).select(*[quoted(k).cast(kinds[k]).alias(k) for k in entity.keys])
-                gone = [{"@removed": {"reason": "deleted"}, **{k: r[k] for k in entity.keys}} for r in envelope.rows(tombstones(before, planned.scope.df, list(entity.keys)))]
             if "lastValue" in payload:
                 planned.scope.df = planned.scope.df.filter(changed(planned.scope, payload["lastValue"], payload["keyValues"]))
             if "after" in payload:
@@ -368,7 +379,8 @@ class Engine:
                 token = tokens.sign(payload | {"after": [envelope.plain(v) for v in places[page - 1]], "link": link}, self.config.secret)
                 out["@odata.nextLink"] = f"{self.config.base}/{path}?{urlencode({'$deltatoken': token}, quote_via=quote)}"
                 return out | {"value": value}
-            value += gone
+            if before is not None:
+                value += [{"@removed": {"reason": "deleted"}, **{k: r[k] for k in entity.keys}} for r in envelope.rows(tombstones(before, now, list(entity.keys)))]
         if link is not None:
             out["@odata.deltaLink"] = link
         return out | {"value": value}

@@ -32,15 +32,23 @@ def stream(spark: SparkSession, path: str, like: DataFrame, *, files_per_batch:
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def feed(changes: DataFrame, keys: list[str], publish: Callable[[DataFrame, DataFrame, int], None], snapshot: Callable[[], DataFrame], checkpoint: str):
-    """Publish each micro-batch's latest row per key, with tombstones against the last snapshot.
+def feed(changes: DataFrame, keys: list[str], publish: Callable[[DataFrame, DataFrame, int], None], snapshot: Callable[[], DataFrame], checkpoint: str, *, by: str | None = None, removed: str | None = None):
+    """Publish each micro-batch's latest row per key, and what is gone.
 
-    ``publish(rows, removed, batch)`` is called for each batch; ``snapshot()`` gives the rows
-    published before, read when the batch runs.
+    ``publish(rows, removed, batch)`` is called for each batch. The latest row of a key has the greatest
+    value of ``by``; without it a key's rows count as alike. Where the stream carries changes, ``removed`` names a true or false column
+    that marks rows which are gone. Without it each batch is a whole state, and what ``snapshot()``, read when the batch runs, has besides is gone.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         latest = batch.dropDuplicates(keys)
-        publish(latest, tombstones(snapshot(), batch, keys), number)
+        if by is not None:
+            row = F.struct(*[batch[c] for c in batch.columns])
+            latest = batch.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max_by(row, F.struct(F.col(by), F.xxhash64(row))).alias("row")).select("row.*")
+        if removed is None:
+            publish(latest, tombstones(snapshot(), batch, keys), number)
+            return
+        gone = F.coalesce(F.col(removed), F.lit(False))
+        publish(latest.filter(~gone), latest.filter(gone).select(*keys).withColumn("@removed", F.lit("deleted")), number)
 
     return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

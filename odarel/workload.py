@@ -143,10 +143,63 @@ def e_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def e_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = run_text(sample_catalog(spark, sf_dir), "Orders?$filter=o_totalprice gt 300000&$expand=customer($expand=nation),lineitems($filter=l_quantity gt 10;$expand=part)&$select=o_orderkey")
+    df = run_text(sample_catalog(spark, sf_dir), "Orders?$expand=customer($expand=nation),lineitems($filter=l_quantity gt 10;$expand=part)&$select=o_orderkey")
     return df.select("o_orderkey", F.col("customer.nation.n_name").alias("n_name"), F.aggregate("lineitems", F.lit(0).cast("long"), lambda s, x: s + x["part"]["p_size"]).alias("sizes"))
 
 
+def e_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = run_text(sample_catalog(spark, sf_dir), "Regions?$expand=nations($search=2;$orderby=n_name)&$select=r_regionkey")
+    return df.select("r_regionkey", F.explode("nations").alias("n")).select("r_regionkey", "n.n_name")
+
+
+def e_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The children of a page's rows only."""
+    df = run_text(sample_catalog(spark, sf_dir), "Customers?$orderby=c_acctbal desc&$top=50&$expand=orders&$select=c_custkey")
+    return df.select("c_custkey", F.explode("orders").alias("o")).select("c_custkey", "o.o_orderkey")
+
+
+def e_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set that relates to itself: nations by the number that their region has, three levels down."""
+    catalog = sample_catalog(spark, sf_dir)
+    catalog.get("Nations").relate(Relation("below", "Nations", "n_nationkey", "n_regionkey", "many"))
+    df = run_text(catalog, "Nations?$expand=below($levels=2)&$select=n_nationkey")
+    df = df.select("n_nationkey", F.explode("below").alias("a")).select("n_nationkey", F.col("a.n_nationkey").alias("first"), F.explode("a.below").alias("b"))
+    return df.select("n_nationkey", "first", F.col("b.n_nationkey").alias("second"))
+
+
+def _followed(engine: Engine, url: str, link: str = "@odata.nextLink") -> list[dict]:
+    """The rows of all pages."""
+    value: list[dict] = []
+    while url:
+        page = engine.get(url)
+        value, url = value + page["value"], page.get(link)
+    return value
+
+
+def l_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer, by following the links of signed tokens from page to page."""
+    engine = _engine(spark, sf_dir, page_size=400)
+    rows = _followed(engine, "/odata/Customers?$orderby=c_mktsegment desc,c_acctbal&$select=c_custkey,c_mktsegment&$count=true")
+    return spark.createDataFrame([(r["c_custkey"], r["c_mktsegment"], n) for n, r in enumerate(rows)], "c_custkey long, c_mktsegment string, nth long")
+
+
+def d_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a client learns of customers changed and deleted since it read them all, over several pages."""
+    engine = _engine(spark, sf_dir, page_size=300, delta=True)
+    customers = engine.catalog.get("Customers")
+    frame = engine.catalog.frame("Customers").withColumn("changed", F.lit(1))
+    customers.delta = "changed"
+    engine.catalog.replace("Customers", frame)
+    url, link = "/odata/Customers?$select=c_custkey", None
+    while url:
+        page = engine.get(url)
+        url, link = page.get("@odata.nextLink"), page.get("@odata.deltaLink")
+    later = frame.filter("c_custkey % 5 <> 0").withColumn("changed", F.when(F.col("c_custkey") % 2 == 0, 2).otherwise(1))
+    engine.catalog.replace("Customers", later)
+    rows = _followed(engine, link)
+    return spark.createDataFrame([(r["c_custkey"], "@removed" in r) for r in rows], "c_custkey long, removed boolean")
+
+
 def p_keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = sample_catalog(spark, sf_dir)
     done = collection.plan(catalog, "Orders", parse_options({"$orderby": "o_totalprice desc"}))
@@ -174,8 +227,7 @@ def t_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = sample_catalog(spark, sf_dir).frame("Events").filter("event_type = 'purchase'")
-    return tumbling(events, "ts", "2 days", [], slide="1 day").agg(F.count(F.lit(1)).alias("windows"), F.sum("n").alias("rows"))
+    return tumbling(sample_catalog(spark, sf_dir).frame("Events"), "ts", "2 days", ["event_type"], slide="1 day")
 
 
 def t_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +271,7 @@ def k_singleton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r_raw_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = {"where": {"or": [{"o_totalprice": {"between": [1000, 5000]}}, {"o_orderpriority": {"ilike": "%urgent%"}}], "o_orderstatus": {"nin": ["P"]}, "o_custkey": {"inq": list(range(1, 200))}}, "fields": ["o_orderkey"], "order": "o_orderkey", "limit": 40}
+    raw = {"where": {"or": [{"o_totalprice": {"between": [1000, 5000]}}, {"o_orderpriority": {"ilike": "%urgent%"}}], "o_orderstatus": {"nin": ["P"]}}, "fields": ["o_orderkey"], "order": "o_orderkey"}
     return _engine(spark, sf_dir).query("Orders", raw_filter=raw)
 
 
@@ -261,20 +313,25 @@ def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
 CODED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "e_count": (e_count, "SELECT c_custkey, count(o_orderkey) AS n, coalesce(sum(o_orderkey), 0)::BIGINT AS keys FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1"),
     "e_top": (e_top, "SELECT c_custkey, o_orderkey, o_totalprice FROM customer JOIN orders ON o_custkey = c_custkey QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2"),
-    "e_nested": (e_nested, "SELECT o_orderkey, n_name, coalesce((SELECT sum(p_size) FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey = o_orderkey AND l_quantity > 10), 0)::BIGINT AS sizes FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 300000"),
+    "e_nested": (e_nested, "SELECT o_orderkey, n_name, coalesce((SELECT sum(p_size) FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey = o_orderkey AND l_quantity > 10), 0)::BIGINT AS sizes FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey"),
+    "e_search": (e_search, "SELECT r_regionkey, n_name FROM region JOIN nation ON n_regionkey = r_regionkey WHERE n_name ILIKE '%2%'"),
+    "e_page": (e_page, "SELECT c_custkey, o_orderkey FROM (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50) JOIN orders ON o_custkey = c_custkey"),
+    "e_levels": (e_levels, "SELECT a.n_nationkey, b.n_nationkey AS first, c.n_nationkey AS second FROM nation a JOIN nation b ON b.n_regionkey = a.n_nationkey JOIN nation c ON c.n_regionkey = b.n_nationkey"),
+    "l_pages": (l_pages, "SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY c_mktsegment DESC, c_acctbal, c_custkey) - 1 AS nth FROM customer"),
+    "d_feed": (d_feed, "SELECT c_custkey, c_custkey % 5 = 0 AS removed FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 2 = 0"),
     "p_keyset": (p_keyset, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice < 150000 OR (o_totalprice = 150000 AND o_orderkey > 10) ORDER BY o_totalprice DESC, o_orderkey LIMIT 50"),
     "c_count": (c_count, "SELECT count(*) AS n FROM orders WHERE o_totalprice > 200000 AND (o_orderpriority ILIKE '%urgent%' OR o_orderstatus ILIKE '%urgent%')"),
     "d_delta": (d_delta, "SELECT event_id, event_type FROM events WHERE ts > TIMESTAMP '2024-01-29'"),
     "d_tombstones": (d_tombstones, "SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0"),
     "d_buckets": (d_buckets, "WITH b AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2), a AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' AND NOT (o_orderpriority LIKE '1%' AND o_orderkey % 3 = 0) GROUP BY 1, 2) SELECT *, NULL::VARCHAR AS removed FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'deleted' FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.o_orderpriority = b.o_orderpriority AND a.o_orderstatus = b.o_orderstatus)"),
-    "t_sliding": (t_sliding, "WITH e AS (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS w FROM events WHERE event_type = 'purchase') SELECT count(DISTINCT w) AS windows, count(*) AS rows FROM e"),
+    "t_sliding": (t_sliding, "SELECT window_start, event_type, count(*) AS n FROM (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY])::TIMESTAMP AS window_start, event_type FROM events) GROUP BY 1, 2"),
     "t_sessions": (t_sessions, "WITH g AS (SELECT user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS begins FROM events) SELECT user_id, sum(begins)::BIGINT AS sessions, count(*) AS n FROM g GROUP BY 1"),
     "n_read": (n_read, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7 AND o_totalprice > 1000"),
     "n_read_one": (n_read_one, "SELECT c_custkey, c_name FROM customer WHERE c_custkey = (SELECT o_custkey FROM orders WHERE o_orderkey = 7)"),
     "n_read_through": (n_read_through, "SELECT p_partkey, p_size FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey = 7"),
     "k_property": (k_property, "SELECT c_name FROM customer WHERE c_custkey = 7"),
     "k_singleton": (k_singleton, "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey = 7"),
-    "r_raw_filter": (r_raw_filter, "SELECT o_orderkey FROM orders WHERE (o_totalprice BETWEEN 1000 AND 5000 OR o_orderpriority ILIKE '%urgent%') AND o_orderstatus <> 'P' AND o_custkey BETWEEN 1 AND 199 ORDER BY o_orderkey LIMIT 40"),
+    "r_raw_filter": (r_raw_filter, "SELECT o_orderkey FROM orders WHERE (o_totalprice BETWEEN 1000 AND 5000 OR o_orderpriority ILIKE '%urgent%') AND o_orderstatus <> 'P'"),
     "u_function": (u_function, "SELECT o_orderkey FROM orders WHERE o_totalprice >= 300000"),
     "w_create": (_written(lambda e: e.create("Regions", {"r_regionkey": 99, "r_name": "NEW", "nations": [{"n_nationkey": 990, "n_name": "N1"}, {"n_nationkey": 991, "n_name": "N2"}]}), "Nations"), "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL VALUES (990, 'N1', 99), (991, 'N2', 99)"),
     "w_patch": (_written(lambda e: e.update("Regions", 1, {"r_name": "PATCHED"}), "Regions"), "SELECT r_regionkey, CASE WHEN r_regionkey = 1 THEN 'PATCHED' ELSE r_name END AS r_name FROM region"),

@@ -32,3 +32,13 @@ def test_feed(spark, tmp_path):
     run = feed(stream(spark, str(tmp_path / "in"), df, files_per_batch=100), ["event_id"], lambda rows, gone, n: seen.append((rows.count(), [r["event_id"] for r in gone.collect()])), lambda: before, str(tmp_path / "ck"))
     run.awaitTermination()
     assert seen == [(5, [77])]
+
+
+def test_feed_of_changes(spark, tmp_path):
+    rows = [(1, 1, "old", False), (1, 3, "new", False), (1, 2, "between", False), (2, 1, "x", False), (2, 2, None, True), (3, 1, "y", None)]
+    df = spark.createDataFrame(rows, "id int, at int, v string, gone boolean")
+    df.write.parquet(str(tmp_path / "in"))
+    seen = []
+    run = feed(stream(spark, str(tmp_path / "in"), df, files_per_batch=100), ["id"], lambda rows, gone, n: seen.append((sorted((r["id"], r["v"]) for r in rows.collect()), [r["id"] for r in gone.collect()])), lambda: df, str(tmp_path / "ck"), by="at", removed="gone")
+    run.awaitTermination()
+    assert seen == [([(1, "new"), (3, "y")], [2])]
