@@ -235,12 +235,14 @@ class Engine:
         total = None
         if o.count:  # before anything is skipped
             total = planned.scope.df.count()
-        taken_before = 0
+        taken_before, link = 0, None
+        if self.config.delta and o.skiptoken is None:  # of the state before the first page, so that nothing changed meanwhile is missed
+            link = self._delta_link(entity, planned, path, options)
         if o.skiptoken is not None:
             payload = tokens.verify(o.skiptoken, self.config.secret, self.config.skip_ttl)
             if payload.get("context") != context:
                 raise ODataError("the token belongs to another query")
-            taken_before = payload["taken"]
+            taken_before, link = payload["taken"], payload.get("delta")
             planned.scope.df = planned.scope.df.filter(after(planned.scope, planned.orders, payload["values"]))
             skip = None
         by = planned.sorted()
@@ -271,12 +273,11 @@ class Engine:
         out["value"] = value
         if more and got:
             values = [envelope.plain(got[-1][f"__mark{i}"]) for i in range(len(marks))]
-            token = tokens.sign({"context": context, "values": values, "taken": taken_before + len(got)}, self.config.secret)
+            token = tokens.sign({"context": context, "values": values, "taken": taken_before + len(got)} | ({} if link is None else {"delta": link}), self.config.secret)
             rest = {k: v for k, v in options.items() if k not in ("$skip", "$skiptoken")}
             out["@odata.nextLink"] = f"{self.config.base}/{path}?{urlencode(rest | {'$skiptoken': token}, quote_via=quote)}"
-        elif self.config.delta and not more:
-            if (link := self._delta_link(entity, planned, path, options)) is not None:
-                out["@odata.deltaLink"] = link
+        elif link is not None and not more:
+            out["@odata.deltaLink"] = link
         self.registry.run("after", "READ", entity.name, {"set": entity.name, "result": out, "engine": self})
         return out
 
