@@ -1,6 +1,7 @@
 """The registered queries on the smallest sample: contracts, the SQL oracle and the pipeline."""
 
 import os
+import re
 import zlib
 
 import duckdb
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from odarel.llm import queries as corpus
 from tests.llm import brute
+from tests.llm.test_mixing import targets
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no sample tables")
@@ -81,6 +83,13 @@ def test_pipeline(spark, docs):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clean = {k for k, _, h, _ in brute.contamination([(k, docs[k]["text"]) for k in first], items) if not h}
     assert {r["doc_id"] for r in kept} <= clean
+
+    def words(texts):
+        return sum(len(re.findall("[^ \t-\r]+", t or "")) for t in texts)
+
+    sizes = {s: words(docs[k]["text"] for k in clean if docs[k]["source"] == s) for s in {docs[k]["source"] for k in clean}}
+    for source, target in targets(sizes).items():  # missed by one document at most; an empty result misses by more
+        assert abs(words(r["text"] for r in kept if r["source"] == source) - target) <= max(words([docs[k]["text"]]) for k in clean if docs[k]["source"] == source)
     assert max(c["n"] for c in out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()) <= 3
     for s in {r["shard"] for r in kept}:
         assert sorted(r["slot"] for r in kept if r["shard"] == s) == list(range(sum(r["shard"] == s for r in kept)))
