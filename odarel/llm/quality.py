@@ -26,6 +26,8 @@ SHAPE = (*RATIOS, *(f"root_{x}" for x in RATIOS), "word_length", "log_words", "l
 #: Buckets that words, in lower case, are hashed to; a bucket's feature is the root of its share of the words.
 BUCKETS = 256
 FEATURES = (*SHAPE, *(f"words_{i}" for i in range(BUCKETS)))
+#: Rows or pairs whose features are held in double precision at once.
+BLOCK = 2_000
 
 
 def word_shares(text: str | None) -> np.ndarray:
@@ -101,25 +103,29 @@ def fit(x: np.ndarray, y: np.ndarray, *, pairs: int = 40_000, ridge: float = 1e-
     Words are held back by ``word_ridge``, so that they tell what the text's shape leaves open. Without both labels there are no pairs: every score is then 0.5.
     """
     k = len(FEATURES)
-    good, bad = x[y == 1], x[y == 0]
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         return Ranking(np.zeros(k), np.ones(k), np.zeros(k), 0.0, 1.0)
     held = np.r_[np.full(len(SHAPE), ridge), np.full(k - len(SHAPE), word_ridge)]
-    mean, scale = x.mean(0), x.std(0)
+    blocks = [slice(i, i + BLOCK) for i in range(0, len(x), BLOCK)]
+    mean = x.mean(0, dtype=float)
+    scale = np.sqrt(sum(np.square(x[b] - mean).sum(0) for b in blocks) / len(x))
     scale[scale < 1e-9] = 1.0
     rng = np.random.default_rng(seed)
-    good_, bad_ = (good - mean) / scale, (bad - mean) / scale
-    d = good_[rng.integers(0, len(good), pairs)] - bad_[rng.integers(0, len(bad), pairs)]
+    first, second = good[rng.integers(0, len(good), pairs)], bad[rng.integers(0, len(bad), pairs)]
     w = np.zeros(k)
     for _ in range(rounds):  # Newton steps on the mean logistic loss of the differences
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        grad = -(d.T @ p) / pairs + held * w
-        hess = (d * (p * (1 - p))[:, None]).T @ d / pairs + np.diag(held)
+        grad, hess = held * w, np.diag(held)
+        for i in range(0, pairs, BLOCK):  # the differences of all pairs at once would be larger than x
+            d = (x[first[i : i + BLOCK]].astype(float) - x[second[i : i + BLOCK]]) / scale
+            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+            grad -= (d.T @ p) / pairs
+            hess += (d * (p * (1 - p))[:, None]).T @ d / pairs
         step = np.linalg.solve(hess, grad)
         w = w - step
         if np.abs(step).max() < 1e-6:
             break
-    s, label = ((x - mean) / scale) @ w, y == 1
+    s, label = np.concatenate([((x[b] - mean) / scale) @ w for b in blocks]), y == 1
     order = np.argsort(s, kind="stable")
     s, label = s[order], label[order]
     # right answers if the lowest i scores are rejected, for each i between two different scores
@@ -165,8 +171,14 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     rows = rows.select("key", "v", "text").mapInArrow(run, f"key {kind}, v double, f binary")
     got = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("f").alias("h"), "f", "v")).alias("one")).select("one.f", "one.v").toArrow()
     y = (got.column("v").to_numpy() > 0.5).astype(int)
-    x = np.frombuffer(b"".join(got.column("f").to_pylist()), np.float32).reshape(len(y), len(FEATURES)).astype(float)
-    order = np.lexsort(np.column_stack([x, y]).T)  # rows come in any order; reruns agree
+    x = np.empty((len(y), len(FEATURES)), np.float32)
+    at = 0
+    for chunk in got.column("f").chunks:
+        for f in chunk:
+            x[at] = np.frombuffer(f.as_buffer(), np.float32)
+            at += 1
+    del got
+    order = np.lexsort((*x.T, y))  # rows come in any order; reruns agree
     return fit(x[order], y[order])
 
 
