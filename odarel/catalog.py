@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -92,5 +92,10 @@ class Catalog:
         """Let later queries read ``frame`` for the set."""
         self._frames[self.get(name).name] = frame
 
+    def state(self) -> tuple:
+        """What queries depend on, to be compared with a later state: the frames themselves, and what the sets declare."""
+        declared = {k: replace(s, relations=dict(s.relations), json={c: dict(v) for c, v in s.json.items()}, enums=dict(s.enums)) for k, s in self._sets.items()}
+        return dict(self._frames), declared, self.limits
+
     def add(self, *sets: EntitySet) -> None:
         self._sets.update({s.name.lower(): s for s in sets})

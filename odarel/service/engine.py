@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from urllib.parse import parse_qsl, quote, unquote, urlencode
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from odarel.catalog import Catalog, EntitySet, Limits
@@ -24,6 +24,7 @@ from odarel.plans.lexer import split_top
 from odarel.plans.parser import Parser, parse_options
 from odarel.service import etag as tags
 from odarel.service import tokens
+from odarel.service.ahead import Ahead, Stretch, place, stable
 from odarel.service.registry import Registry
 from odarel.sources import envelope, metadata, snapshots
 
@@ -56,12 +57,14 @@ class Engine:
         self.spark = catalog.spark
         catalog.limits = config.limits
         self.singletons: dict[str, tuple[str, Callable[[], tuple] | tuple]] = {}
+        self._ahead = Ahead()
 
     # DataFrames
 
     def query(self, name: str, options: str | Mapping[str, str] | Options = "", *, raw_filter: Mapping | None = None) -> DataFrame:
         """A collection query as one plan; nothing runs until the result is used."""
-        return self._planned(name, self._options(options), raw_filter)[1]
+        planned, df = self._planned(name, self._options(options), raw_filter)
+        return planned.shown(planned.paged()) if df is None else df
 
     def _options(self, options) -> Options:
         if isinstance(options, Options):
@@ -83,7 +86,12 @@ class Engine:
             scope.df_filter(raw_where(scope, where))
         return scope.df
 
-    def _planned(self, name: str, o: Options, raw_filter: Mapping | None = None) -> tuple[collection.Planned, DataFrame]:
+    def _planned(self, name: str, o: Options, raw_filter: Mapping | None = None) -> tuple[collection.Planned, DataFrame | None]:
+        """The plan, and the whole result where an executor gave it."""
+        return self._plan(name, o, raw_filter, self._prepared(name, o, raw_filter))
+
+    def _prepared(self, name: str, o: Options, raw_filter: Mapping | None = None) -> dict:
+        """Complete the options by the raw filter and the hooks."""
         entity = self.catalog.get(name)
         if raw_filter:
             o.top = raw_filter.get("limit", o.top) if o.top is None else o.top
@@ -98,6 +106,10 @@ class Engine:
                 o.expand += parse_options({"$expand": relation["relation"] if isinstance(relation, dict) else relation}).expand
         context = {"set": entity.name, "options": o, "engine": self}
         self.registry.run("before", "READ", entity.name, context)
+        return context
+
+    def _plan(self, name: str, o: Options, raw_filter: Mapping | None, context: dict) -> tuple[collection.Planned, DataFrame | None]:
+        entity = self.catalog.get(name)
         if o.apply is not None:
             for supports, execute in self.registry.executors:
                 if supports(context) and (df := execute(context)) is not None:
@@ -106,8 +118,7 @@ class Engine:
 
                     done = Pipeline(FlatScope(df), list(df.columns))
                     return collection.Planned(done.scope, done.default_order(), o, done), df
-        planned = collection.plan(self.catalog, name, o, search_mode=self.config.search_mode, base=self._base(entity, raw_filter))
-        return planned, planned.shown(planned.paged())
+        return collection.plan(self.catalog, name, o, search_mode=self.config.search_mode, base=self._base(entity, raw_filter)), None
 
     def entity(self, name: str, key=None) -> DataFrame:
         """One entity, or a singleton by its name, as a DataFrame of at most a row."""
@@ -229,50 +240,38 @@ class Engine:
         top, skip = o.top, o.skip
         context = self._context(path, options)
         o.top = o.skip = None
-        planned, _ = self._planned(entity.name, o, raw_filter)
+        prepared = self._prepared(entity.name, o, raw_filter)
         top, skip = (o.top if top is None else top), (o.skip if skip is None else skip)
         o.top = o.skip = None
-        total = None
-        if o.count:  # before anything is skipped
-            total = planned.scope.df.count()
-        taken_before, link = 0, None
-        if self.config.delta and o.skiptoken is None:  # of the state before the first page, so that nothing changed meanwhile is missed
-            link = self._delta_link(entity, planned, path, options)
+        taken_before, link, values = 0, None, None
         if o.skiptoken is not None:
             payload = tokens.verify(o.skiptoken, self.config.secret, self.config.skip_ttl)
             if payload.get("context") != context:
                 raise ODataError("the token belongs to another query")
-            taken_before, link = payload["taken"], payload.get("delta")
-            planned.scope.df = planned.scope.df.filter(after(planned.scope, planned.orders, payload["values"]))
-            skip = None
-        by = planned.sorted()
-        marks = [planned.scope.compiler.column(x.expr).alias(f"__mark{i}") for i, x in enumerate(planned.orders)]
-        df = planned.scope.df.orderBy(*by) if by else planned.scope.df
-        if skip:
-            df = df.offset(skip)
+            taken_before, link, values = payload["taken"], payload.get("delta"), payload["values"]
         room = page if top is None else min(page, max(0, top - taken_before))
-        df = df.limit(room + 1)
-        whole = df.select("*", *marks) if marks else df
-        if planned.pipeline is None and o.expand:
-            page_rows = whole.collect()  # a page; its rows are then expanded, so that its plan runs once
-            more = len(page_rows) > room and (top is None or top - taken_before > room)
-            found = self.spark.createDataFrame([tuple(r) for r in page_rows[:room]], whole.schema)
-            shown = self._shown_marked(planned, found, len(marks))
-            got = shown.collect()
-        else:
-            shown = self._shown_marked(planned, whole, len(marks))
-            got = shown.collect()
-            more = len(got) > room and (top is None or top - taken_before > room)
-            got = got[:room]
-        names = [c for c in shown.columns if not c.startswith("__mark")]
-        value = envelope.rows(shown.select(*[quoted(c) for c in names]), [tuple(r[c] for c in names) for r in got])
+        state = self._state(o, raw_filter)
+        found = None if values is None else self._ahead.find(context, state, values, room)
+        if found is None:
+            planned, _ = self._plan(entity.name, o, raw_filter, prepared)
+            total = planned.scope.df.count() if o.count else None  # before anything is skipped
+            if self.config.delta and values is None:  # of the state before the first page, so that nothing changed meanwhile is missed
+                link = self._delta_link(entity, planned, path, options)
+            left = None if top is None else max(0, top - taken_before)
+            found = self._read(planned, context if values is not None else None, state, values, room, skip=None if values is not None else skip, left=left), 0
+            found[0].total = total
+        stretch, at = found
+        planned, total = stretch.planned, stretch.total
+        got, value = self._page(stretch, at, room)
+        more = len(stretch.rows) > at + room and (top is None or top - taken_before > room)
         self._decorate(entity, planned, value)
         out: dict = {"@odata.context": f"{self.config.base}/$metadata#{entity.name}"}
         if total is not None:
             out["@odata.count"] = total
         out["value"] = value
         if more and got:
-            values = [envelope.plain(got[-1][f"__mark{i}"]) for i in range(len(marks))]
+            values = [envelope.plain(got[-1][f"__mark{i}"]) for i in range(len(planned.orders))]
+            stretch.places[place(values)] = at + len(got)
             token = tokens.sign({"context": context, "values": values, "taken": taken_before + len(got)} | ({} if link is None else {"delta": link}), self.config.secret)
             rest = {k: v for k, v in options.items() if k not in ("$skip", "$skiptoken")}
             out["@odata.nextLink"] = f"{self.config.base}/{path}?{urlencode(rest | {'$skiptoken': token}, quote_via=quote)}"
@@ -281,6 +280,51 @@ class Engine:
         self.registry.run("after", "READ", entity.name, {"set": entity.name, "result": out, "engine": self})
         return out
 
+    def _state(self, o: Options, raw_filter: Mapping | None = None) -> tuple:
+        """What a page's rows depend on besides its place."""
+        return (replace(o, skiptoken=None, deltatoken=None), raw_filter), self.catalog.state(), self.config.search_mode
+
+    def _read(self, planned: collection.Planned, key: str | None, state: tuple, values: list | None, room: int, *, skip: int | None = None, left: int | None = None) -> Stretch:
+        """A page's rows in order, and the next; for ``key``, further rows that are kept for the pages after it.
+
+        Only ``left`` rows are wanted in all. To be expanded, rows stay as they are until their page is asked for.
+        """
+        o, scope = planned.options, planned.scope
+        custom = o.apply is not None and bool(self.registry.executors)  # they decide anew for each request
+        size = room + 1
+        if key is not None and not custom and stable(scope.df):
+            ahead = self._ahead.size(key, state, room)
+            size = max(size, ahead if left is None else min(ahead, left + 1))
+        else:
+            key = None
+        if values is not None:
+            scope.df = scope.df.filter(after(scope, planned.orders, values))
+        by = planned.sorted()
+        marks = [scope.compiler.column(x.expr).alias(f"__mark{i}") for i, x in enumerate(planned.orders)]
+        df = scope.df.orderBy(*by) if by else scope.df
+        if skip:
+            df = df.offset(skip)
+        df = df.limit(size)
+        whole = df.select("*", *marks) if marks else df
+        if planned.pipeline is not None or not o.expand:
+            whole = self._shown_marked(planned, whole, len(marks))
+        rows = whole.collect()
+        stretch = Stretch(planned, whole, rows, ended=len(rows) < size)
+        if key is not None:
+            stretch.places[place(values)] = 0
+            self._ahead.keep(key, state, stretch, size)
+        return stretch
+
+    def _page(self, stretch: Stretch, at: int, room: int) -> tuple[list[Row], list[dict]]:
+        """A page's rows with the order's values, and as the client sees them; a page is expanded by itself."""
+        got, shown, planned = stretch.rows[at : at + room], stretch.shown, stretch.planned
+        if planned.pipeline is None and planned.options.expand:
+            found = self.spark.createDataFrame([tuple(r) for r in got], shown.schema)
+            shown = self._shown_marked(planned, found, len(planned.orders))
+            got = shown.collect()
+        fields = [(i, f.name, f.dataType) for i, f in enumerate(shown.schema.fields) if not f.name.startswith("__mark")]
+        return got, [{name: envelope.plain(r[i], kind) for i, name, kind in fields} for r in got]
+
     def _shown_marked(self, planned: collection.Planned, df: DataFrame, marks: int) -> DataFrame:
         """What the client sees, with the order's values beside it."""
         if planned.pipeline is not None:
@@ -345,8 +389,14 @@ class Engine:
         if payload.get("entitySet") != entity.name:
             raise ODataError("the token belongs to another set")
         again = self._options(payload["options"])
-        planned, _ = self._planned(entity.name, again)
+        prepared = self._prepared(entity.name, again)
         out: dict = {"@odata.context": f"{self.config.base}/$metadata#{entity.name}/$delta"}
+        state, page = self._state(again), self.config.page_size
+        context = f"DELTA:{path}?{json.dumps({k: v for k, v in payload.items() if k not in ('after', 'issuedAt')}, sort_keys=True)}"
+        found = self._ahead.find(context, state, payload["after"], page) if "after" in payload else None
+        if found is not None and len(found[0].rows) > found[1] + page:  # the last page needs the plan, too
+            return out | self._changes(found, page, path, payload, payload["link"])
+        planned, _ = self._plan(entity.name, again, None, prepared)
         link = payload["link"] if "after" in payload else self._delta_link(entity, planned, path, payload["options"])
         if "buckets" in payload or "groups" in payload:
             now = planned.scope.df
@@ -369,23 +419,29 @@ class Engine:
                 before = self.spark.createDataFrame(rows, schema).select(*[quoted(k).cast(kinds[k]).alias(k) for k in entity.keys])
             if "lastValue" in payload:
                 planned.scope.df = planned.scope.df.filter(changed(planned.scope, payload["lastValue"], payload["keyValues"]))
-            if "after" in payload:
-                planned.scope.df = planned.scope.df.filter(after(planned.scope, planned.orders, payload["after"]))
-            by = planned.sorted()
-            marks = [planned.scope.compiler.column(x.expr).alias(f"__mark{i}") for i, x in enumerate(planned.orders)]
-            page, df = self.config.page_size, planned.scope.df.orderBy(*by)
-            places = df.limit(page + 1).select(*marks).collect()
-            value = envelope.rows(planned.shown(df.limit(page)))
-            if len(places) > page:
-                token = tokens.sign(payload | {"after": [envelope.plain(v) for v in places[page - 1]], "link": link}, self.config.secret)
-                out["@odata.nextLink"] = f"{self.config.base}/{path}?{urlencode({'$deltatoken': token}, quote_via=quote)}"
-                return out | {"value": value}
+            if found is None:
+                found = self._read(planned, context if "after" in payload else None, state, payload.get("after"), page), 0
+            some = self._changes(found, page, path, payload, link)
+            if "@odata.nextLink" in some:
+                return out | some
+            value = some["value"]
             if before is not None:
                 value += [{"@removed": {"reason": "deleted"}, **{k: r[k] for k in entity.keys}} for r in envelope.rows(tombstones(before, now, list(entity.keys)))]
         if link is not None:
             out["@odata.deltaLink"] = link
         return out | {"value": value}
 
+    def _changes(self, found: tuple[Stretch, int], page: int, path: str, payload: dict, link: str | None) -> dict:
+        """A page of changed rows, with the link to the next if there are more."""
+        stretch, at = found
+        got, value = self._page(stretch, at, page)
+        if len(stretch.rows) <= at + page:
+            return {"value": value}
+        values = [envelope.plain(got[-1][f"__mark{i}"]) for i in range(len(stretch.planned.orders))]
+        stretch.places[place(values)] = at + len(got)
+        token = tokens.sign(payload | {"after": values, "link": link}, self.config.secret)
+        return {"@odata.nextLink": f"{self.config.base}/{path}?{urlencode({'$deltatoken': token}, quote_via=quote)}", "value": value}
+
     # entities
 
     def _entity(self, entity: EntitySet, key: tuple, rest: list[str], options: dict[str, str], if_none_match: str | None):

@@ -57,8 +57,8 @@ def plain(value, kind: T.DataType | None = None):
 
 def rows(df: DataFrame, found: list[Row] | None = None) -> list[dict]:
     """A page as plain values; the caller has cut it."""
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    return [{k: plain(v, kinds[k]) for k, v in zip(df.columns, r, strict=True)} for r in (df.collect() if found is None else found)]
+    fields = [(f.name, f.dataType) for f in df.schema.fields]
+    return [{k: plain(v, kind) for (k, kind), v in zip(fields, r, strict=True)} for r in (df.collect() if found is None else found)]
 
 
 def raw(value) -> str | bytes:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import replace
+from itertools import batched
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from odarel.catalog import Catalog, EntitySet, Relation
 from odarel.operators import query as collection
@@ -167,13 +171,20 @@ def e_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("n_nationkey", "first", F.col("b.n_nationkey").alias("second"))
 
 
-def _followed(engine: Engine, url: str, link: str = "@odata.nextLink") -> list[dict]:
+def _followed(engine: Engine, url: str, link: str = "@odata.nextLink") -> Iterator[dict]:
     """The rows of all pages."""
-    value: list[dict] = []
     while url:
         page = engine.get(url)
-        value, url = value + page["value"], page.get(link)
-    return value
+        yield from page["value"]
+        url = page.get(link)
+
+
+def _columns(spark: SparkSession, rows: Iterator[tuple], schema: str) -> DataFrame:
+    """Rows that a client has gathered; as columns, so that the driver doesn't hold an object for each value."""
+    fields = StructType.fromDDL(schema)
+    names = to_arrow_schema(fields)
+    parts = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), names, strict=True)], schema=names) for part in batched(rows, 10_000)]
+    return spark.createDataFrame(pa.Table.from_batches(parts, names), fields)
 
 
 def l_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,8 +207,7 @@ def d_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         url, link = page.get("@odata.nextLink"), page.get("@odata.deltaLink")
     later = frame.filter("c_custkey % 5 <> 0").withColumn("changed", F.when(F.col("c_custkey") % 2 == 0, 2).otherwise(1))
     engine.catalog.replace("Customers", later)
-    rows = _followed(engine, link)
-    return spark.createDataFrame([(r["c_custkey"], "@removed" in r) for r in rows], "c_custkey long, removed boolean")
+    return _columns(spark, ((int(r["c_custkey"]), "@removed" in r) for r in _followed(engine, link)), "c_custkey long, removed boolean")
 
 
 def p_keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
