@@ -191,7 +191,7 @@ def l_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer, by following the links of signed tokens from page to page."""
     engine = _engine(spark, sf_dir, page_size=400)
     rows = _followed(engine, "/odata/Customers?$orderby=c_mktsegment desc,c_acctbal&$select=c_custkey,c_mktsegment&$count=true")
-    return spark.createDataFrame([(r["c_custkey"], r["c_mktsegment"], n) for n, r in enumerate(rows)], "c_custkey long, c_mktsegment string, nth long")
+    return _columns(spark, ((int(r["c_custkey"]), r["c_mktsegment"], n) for n, r in enumerate(rows)), "c_custkey long, c_mktsegment string, nth long")
 
 
 def d_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
